@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .media import op4_media
+from .quality import op10_quality
+from .simhash_dedup import op1_simhash_dedup
 from .token_counts import op2_token_counts
 from .transducer import op8_sentencepiece
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_token_counts": op2_token_counts,
+    "op4_media": op4_media,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
