@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .media import op4_media
+from .ngram_lm import op5_lm_scoring
 from .quality import op10_quality
 from .simhash_dedup import op1_simhash_dedup
 from .token_counts import op2_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_media": op4_media,
+    "op5_lm_scoring": op5_lm_scoring,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_quality": op10_quality,
 }
