@@ -6,6 +6,8 @@ from .media import op4_media
 from .ngram_lm import op5_lm_scoring
 from .quality import op10_quality
 from .simhash_dedup import op1_simhash_dedup
+from .secret_scan import op7_secret_scan
+from .substring_dedup import op6_substring_dedup
 from .token_counts import op2_token_counts
 from .transducer import op8_sentencepiece
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_media": op4_media,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_quality": op10_quality,
 }
