@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op3_decontaminate
 from .media import op4_media
 from .ngram_lm import op5_lm_scoring
 from .quality import op10_quality
@@ -14,6 +16,7 @@ from .transducer import op8_sentencepiece
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_decontaminate": op3_decontaminate,
     "op4_media": op4_media,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
@@ -22,4 +25,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE}
