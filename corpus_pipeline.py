@@ -1,8 +1,76 @@
-"""A corpus pipeline: five stages, each one of the operators, each written and read again."""
+"""A corpus pipeline: five stages, each one of the operators, each written as Parquet and read again.
 
-STAGES: list = []
+A stage takes ``(spark, docs, sf_dir)``, works on every row the stage before kept and gives the columns of
+``documents``; the last gives the encoded texts. Ids tell documents apart; rows without an id pass.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noticeworks.llm import decontaminate, quality, secret_scan, simhash_dedup, transducer
+from noticeworks.llm.common import documents, fresh_path
+
+#: Ids of rows to go (8 bytes each) that may be broadcast; beyond it they are shuffled.
+BROADCAST_IDS = 2_000_000
+
+#: The stages learn, vote and search; SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = ids.where("doc_id is not null").distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows go that the quality classifier rejects; it learns from the same labels as its query."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, F.crc32(F.col("id").cast("string")) % 5 != 0)
+    return quality.accepted(docs, model)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the row with the least id stays; of rows equal in id and text, one."""
+    classes = simhash_dedup.near_duplicates(docs)
+    out = _without(docs, classes.where("doc_id <> class_id").select("doc_id"))
+    ids = docs.where("doc_id is not null").agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    if ids.n > ids.d:
+        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows go that hold a passage of the benchmark."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select("doc_id"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; each secret in a text becomes a mark, and ``n_chars`` counts anew."""
+    out = secret_scan.without_secrets(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text as ids, with whether they decode to it."""
+    return transducer.encode_documents(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("simhash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("sentencepiece encoding", encoding_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        path = fresh_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, warc
 from .decontaminate import op3_decontaminate
 from .media import op4_media
 from .ngram_lm import op5_lm_scoring
@@ -12,6 +12,7 @@ from .secret_scan import op7_secret_scan
 from .substring_dedup import op6_substring_dedup
 from .token_counts import op2_token_counts
 from .transducer import op8_sentencepiece
+from .warc import op9_warc_revisit
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
@@ -22,7 +23,8 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_warc_revisit": op9_warc_revisit,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op9_warc_revisit": warc.ORACLE}

@@ -118,8 +118,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every window of every text by brute force, in DuckDB.
 ORACLE = r"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
-bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
 ds AS (SELECT doc_id, i - 1 AS pos, len(w) - 4 AS n, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
 bs AS (SELECT item_id, len(w) AS size, len(w) - 4 AS total, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM bw)),
 bc AS (SELECT item_id, size, total, s, count(*) AS c FROM bs GROUP BY ALL),

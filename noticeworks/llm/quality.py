@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, NON_SPACE, by_bytes, documents, mix64, text_or_empty, words_of
 
 
+#: Scores from here on are taken for label 1.
+THRESHOLD = 0.3
+
+
 @dataclass(frozen=True)
 class Params:
     sample: int = 16_000  # labelled rows that the model is fitted on, the first by a hash of doc_id
@@ -223,12 +227,23 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose score is THRESHOLD or more, with all their columns; null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, text, 1 << 20):
+            t = b.column(at)
+            yield b.filter(pa.array(shared.value.scores(t.fill_null("") if t.null_count else t) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _fold(column: str):
     return F.crc32(F.col(column).cast("string")) % 5
 
 
-THRESHOLD = 0.3
-
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
