@@ -112,16 +112,28 @@ class EliasFano:
         later = high > 0
         at[later] = self.zeros.select(high[later] - 1) + 1
         index, words = at - high, self.zeros.words
-        while len(todo):
+        for _ in range(3):  # most buckets hold an element or two
             one = words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1
-            todo, low, at, index = todo[one], low[one], at[one], index[one]
+            todo, high, low, at, index = todo[one], high[one], low[one], at[one], index[one]
             if not len(todo):
-                break
+                return out
             there = self._low(index)
             hit = there == low
             out[todo[hit]] = index[hit]
             go = there < low
-            todo, low, at, index = todo[go], low[go], at[go] + 1, index[go] + 1
+            todo, high, low, at, index = todo[go], high[go], low[go], at[go] + 1, index[go] + 1
+        if not len(todo):
+            return out
+        end = self.zeros.select(high) - high  # a large one is searched by halves
+        stop = end.copy()
+        while len(who := np.flatnonzero(index < end)):
+            mid = (index[who] + end[who]) >> 1
+            less = self._low(mid) < low[who]
+            index[who] = np.where(less, mid + 1, index[who])
+            end[who] = np.where(less, end[who], mid)
+        inside = np.flatnonzero(index < stop)
+        hit = inside[self._low(index[inside]) == low[inside]]
+        out[todo[hit]] = index[hit]
         return out
 
 
