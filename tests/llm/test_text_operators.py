@@ -1,0 +1,152 @@
+"""Token counts, SentencePiece, secrets and media: against the library, brute force and round trips."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from noticeworks.llm import media, pieces, secret_scan, token_counts, transducer, webp
+
+sentencepiece = pytest.importorskip("sentencepiece")
+
+
+@pytest.fixture(scope="module")
+def lib():
+    return sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path())
+
+
+def noise(r):
+    s = "".join(r.choice("abct the in of ing     \n\t.,!?()0129-_=+/\"'éüñ日本語ก😀ﬁ①▁<>s\x00ABÀß{}$#%&*|") for _ in range(r.randint(0, 16)))
+    return " " * r.randint(0, 9) + s if r.random() < 0.3 else s
+
+
+def test_counts_and_ids_are_the_librarys(lib, small):
+    r = random.Random(5)
+    texts = [noise(r) for _ in range(3000)] + [x.text for x in small.select("text").collect()]
+    count, coder = token_counts.counter(token_counts.tokenizer_path()), transducer.Coder(token_counts.tokenizer_path())
+    want = lib.encode(texts)
+    assert count.counts(texts) == [len(x) for x in want]
+    got = [np.frombuffer(b, "<i4") for b in coder.encode(texts)]
+    assert [g.tolist() for g in got] == want
+    assert [coder.decode(g) for g in got] == lib.decode(want)
+
+
+def test_acceptor_is_merging():
+    fst = transducer.transducer(token_counts.tokenizer_path())
+    r = random.Random(2)
+    ids = list(fst.model.normal.values())
+    for _ in range(3000):
+        a, b = r.choice(ids), r.choice(ids)
+        x, y = fst.model.pieces[a], fst.model.pieces[b]
+        assert fst.allowed(a, b) == (fst.merged(list(x + y)) == [x, y])
+
+
+def test_unigram_shortest_path():
+    class Toy(pieces.Model):
+        def __init__(self):
+            self.pieces = ["<unk>", "▁a", "a", "b", "ab", "▁", "▁ab"]
+            self.scores = [0, -1.0, -2.0, -2.5, -3.0, -2.0, -4.2]
+            self.normal = {p: i for i, p in enumerate(self.pieces) if i}
+            self.byte, self.unknown, self.is_bpe = {}, 0, False
+
+    fst = transducer.Transducer(Toy())
+
+    def brute(s):
+        if not s:
+            return 0.0, []
+        best = (float("inf"), [])
+        for p, i in fst.model.normal.items():
+            if s.startswith(p):
+                w, rest = brute(s[len(p) :])
+                best = min(best, (w - fst.model.scores[i], [i, *rest]))
+        return best
+
+    for s in ("▁ab", "▁aab", "▁bab", "▁abab"):
+        assert sum(-fst.model.scores[i] for i in fst.encode(s)) == pytest.approx(brute(s)[0])
+
+
+def test_token_counts_of_odd_rows(odd, none, lib):
+    rows = token_counts.count_tokens(odd).collect()
+    want = sorted((str(x.doc_id), len((x.text or "").encode()), len(lib.encode(x.text or ""))) for x in odd.select("doc_id", "text").collect())
+    assert sorted((str(x.doc_id), x.n_bytes, x.n_tokens) for x in rows) == want
+    assert token_counts.count_tokens(none).collect() == []
+
+
+def test_encoding_of_odd_rows(odd, none, lib):
+    for x in transducer.encode_documents(odd.where("doc_id is not null")).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert x.ids == lib.encode(x.text or "") and x.round_trip
+        assert x.ids_sha256 == hashlib.sha256(np.array(x.ids, "<i4").tobytes()).hexdigest()
+    assert transducer.encode_documents(none).collect() == []
+
+
+def base_by_contract(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+
+def test_secret_patterns(small, odd, none):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["token", "API_KEY", "apikey", "AKIA", "=", ": ", '"', "a1", "0123456789abcdef", "QWERTY12", " ", "é", "ſecret"]) for _ in range(r.randint(1, 14))) for _ in range(1500)]
+    for t in texts + [x.text for x in small.select("text").collect()]:
+        assert secret_scan.base_spans(t) == base_by_contract(t)
+    rows = {x.doc_id: x for x in secret_scan.find_secrets(odd).collect()}
+    assert (rows[12].n_assign, rows[12].n_access, rows[12].n_hex) == (1, 1, 1)
+    assert rows[4].spans == "" and rows[4].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secret_scan.find_secrets(none).collect() == []
+
+
+def test_secret_network():
+    net = secret_scan.trained()
+    rows = secret_scan.labelled_findings(1000, 99)
+    x = np.array([secret_scan.codes(t, *secret_scan.windows(t, i, j)[0]) for t, i, j, _ in rows])
+    y, p = np.array([v for *_, v in rows]), net.scores(x) >= net.threshold
+    assert p[y == 1].mean() >= 0.93 and p[y == 0].mean() <= 0.03
+    text = "x " * 30 + "credential ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8 tail"
+    (spans,) = secret_scan.network_spans([text], [secret_scan.base_spans(text)], net)
+    assert [text[i:j] for i, _, j in spans] == ["ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8"]
+
+
+def test_gradient():
+    net = secret_scan.Network(1)
+    net.w[2] += 0.01  # off the kink that windows of padding alone stand on
+    rows = secret_scan.labelled_findings(8, 4)
+    x, y = np.array([secret_scan.codes(t, *secret_scan.windows(t, i, j)[0]) for t, i, j, _ in rows]), np.array([v for *_, v in rows], float)
+    loss = lambda: float(np.logaddexp(0, np.where(y > 0, -1, 1) * net.forward(x)[4]).mean())
+    for w, g in zip(net.w[1:], net.gradients(x, y)[1:]):
+        at = tuple(0 for _ in w.shape)
+        keep = w[at]
+        w[at] = keep + 1e-5
+        up = loss()
+        w[at] = keep - 1e-5
+        down = loss()
+        w[at] = keep
+        assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+
+def test_webp_parts():
+    rng = np.random.default_rng(0)
+    for trial in range(6):
+        h, w = rng.integers(1, 20, 2)
+        px = (rng.integers(0, 3 if trial % 2 else 256, (h, w, 4)).astype(np.uint32) * np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint32)).sum(-1).astype(np.uint32)
+        blocks = (-(-h // 4), -(-w // 4))
+        ways = [{}, {"subtract_green": True}, {"predictor": rng.integers(0, 14, blocks)}, {"cross": rng.integers(0, 2**32, blocks)}, {"cache_bits": 4}, {"references": True}, {"references": True, "cache_bits": 7, "meta_bits": 2}]
+        ways.append({"predictor": rng.integers(0, 14, blocks), "cross": rng.integers(0, 2**32, blocks), "subtract_green": True, "references": True, "cache_bits": 2})
+        if trial % 2:
+            ways += [{"palette": True}, {"palette": True, "references": True}]
+        for way in ways:
+            assert (webp.decode(webp.encode(px, **way)) == px).all(), way
+    with pytest.raises(ValueError):
+        webp.decode(webp.encode(px)[:-4])
+
+
+def test_media_of_odd_rows(odd, none):
+    for x in media.media_columns(odd, keep_media=True).collect():
+        back = media.load(x.media, x.payload_bytes)
+        assert hashlib.sha256(back).hexdigest() == x.payload_sha256 and zlib.crc32(back[-64:]) == x.tail_crc32 and len(x.media) == x.media_bytes
+    want = sorted(hashlib.sha256(media.padded((x.text or "").encode())).hexdigest() for x in odd.select("text").collect())
+    assert sorted(x.payload_sha256 for x in media.media_columns(odd).collect()) == want
+    assert media.media_columns(none).collect() == []
