@@ -38,7 +38,7 @@ def events(df: DataFrame) -> DataFrame:
         F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("uid")), F.concat(F.lit("DTSTAMP:"), dates.stamp(start)), F.concat(F.lit("DTSTART:"), dates.stamp(start)), F.concat(F.lit("DTEND:"), dates.stamp(start + F.expr("interval 1 hour"))),
         F.concat(F.lit("SUMMARY:"), ics_escape(F.col("summary"))), F.concat(F.lit("DESCRIPTION:"), ics_escape(F.col("description"))), F.concat(F.lit("LOCATION:"), ics_escape(F.col("location"))), *alarm("7D"), *alarm("1D"), F.lit("END:VEVENT"),
     ]
-    block = F.array_join(F.transform(F.array_compact(F.array(*lines)), fold_octets), "\r\n")
+    block = F.concat_ws("\r\n", *map(fold_octets, lines))  # null lines are left out
     return df.withColumn("block", block)
 
 
