@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +13,13 @@ from pyspark.sql import functions as F
 
 def _folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{at or 'file://' + tempfile.mkdtemp(prefix='noticeworks-')}/{uuid.uuid4().hex[:12]}"
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="noticeworks-")
+        atexit.register(shutil.rmtree, made, True)
+        at = f"file://{made}"
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex[:12]}"
 
 
 def deduplicated_counts(spark: SparkSession, path: str, key: str = "event_id", time: str = "ts", kind: str = "event_type", late: str = "60 days") -> DataFrame:
