@@ -7,7 +7,6 @@ import json
 import numpy as np
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-_STEP = 64  # a select sample for so many bits
 
 
 def _select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -23,37 +22,19 @@ def _select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class Bits:
-    """A bit vector with select of ones or zeros through samples."""
+    """A bit vector with select of ones or zeros: ``before`` counts them ahead of each word."""
 
-    def __init__(self, words: np.ndarray, samples: np.ndarray, ones: bool):
-        self.words, self.samples, self.flip = words, samples, np.uint64(0) if ones else _ALL
+    def __init__(self, words: np.ndarray, before: np.ndarray, ones: bool):
+        self.words, self.before, self.flip = words, before, np.uint64(0) if ones else _ALL
 
     @staticmethod
-    def sampled(words: np.ndarray, ones: bool) -> np.ndarray:
-        counts = np.bitwise_count(words if ones else ~words).astype(np.int64)
-        before = np.concatenate([[0], np.cumsum(counts)])
-        ranks = np.arange(0, before[-1], _STEP)
-        at = np.searchsorted(before, ranks, "right") - 1
-        x = words[at] if ones else ~words[at]
-        return at * 64 + _select_in_word(x, ranks - before[at])
+    def counted(words: np.ndarray, ones: bool) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.bitwise_count(words if ones else ~words).astype(np.int64))[:-1]])
 
     def select(self, rank: np.ndarray) -> np.ndarray:
         """Positions of the bits of these ranks, all of which exist."""
-        begin = self.samples[rank // _STEP].astype(np.int64)
-        word, left = begin >> 6, rank % _STEP
-        x = (self.words[word] ^ self.flip) & (_ALL << (begin & 63).astype(np.uint64))
-        out = np.empty(len(rank), np.int64)
-        todo = np.arange(len(rank))
-        while len(todo):
-            n = np.bitwise_count(x).astype(np.int64)
-            here = n > left
-            if here.any():
-                out[todo[here]] = word[here] * 64 + _select_in_word(x[here], left[here])
-            go = ~here
-            todo, left, word = todo[go], left[go] - n[go], word[go] + 1
-            if len(todo):
-                x = self.words[word] ^ self.flip
-        return out
+        word = np.searchsorted(self.before, rank, "right") - 1
+        return word * 64 + _select_in_word(self.words[word] ^ self.flip, rank - self.before[word])
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -75,8 +56,8 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     return {
         "head": np.array([n, low, int(high[-1]) if n else -1], np.int64),
         "upper": words,
-        "zeros": Bits.sampled(words, False),
-        "ones": Bits.sampled(words, True),
+        "zeros": Bits.counted(words, False),
+        "ones": Bits.counted(words, True),
         "lower": np.concatenate([*lows, np.zeros(16, np.uint8)]),
     }
 
