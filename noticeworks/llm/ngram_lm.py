@@ -204,7 +204,7 @@ class Model:
             second[1:] &= (out["id"][1:] >= 0) & (out["id"][:-1] >= 0)
             pos = np.flatnonzero(second)
             u, v = out["id"][pos - 1], out["id"][pos]
-            order = np.lexsort((v, u))
+            order = np.argsort(u.astype(np.uint64) * np.uint64(self.words) + v.astype(np.uint64), kind="stable")
             pos, u, v = pos[order], u[order], v[order]
             new = np.ones(len(pos), bool)
             new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
@@ -256,8 +256,18 @@ def _unplanes(raw: bytes, kind) -> np.ndarray:
 
 def _blobs(shard: np.ndarray, key: np.ndarray, shards: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Counted keys in order, by shard: differences and counts."""
-    order = np.lexsort((key, shard))
-    shard, key = shard[order], key[order]
+    top = np.uint64(64 - (shards - 1).bit_length())
+    if not len(key):
+        return
+    if not (key >> top).any():  # shard and key fit one word: sorted as such
+        both = np.sort(shard.astype(np.uint64) << top | key)
+        shard, key = (both >> top).astype(np.int64), both & np.uint64((1 << int(top)) - 1)
+    elif (key >> top == shard.astype(np.uint64)).all():  # the key begins with its shard
+        key = np.sort(key)
+        shard = (key >> top).astype(np.int64)
+    else:
+        order = np.lexsort((key, shard))
+        shard, key = shard[order], key[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])
     pick = np.flatnonzero(new)
