@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from noticeworks.functions import dates, extract, geo, numbers, redact, text
 from noticeworks.operators import analytics as A
 from noticeworks.operators import gates as G
-from noticeworks.operators import search, sinks
+from noticeworks.operators import places, search, sinks
 from noticeworks.streaming import incremental
 
 AS_OF = "2000-01-01"
@@ -359,7 +359,7 @@ def search_facets(spark, sf):
 SELECT 'rows' AS gate, count(*)::DOUBLE AS value, count(*) >= 500 AS passed FROM orders UNION ALL SELECT 'courts', count(DISTINCT o_orderpriority), count(DISTINCT o_orderpriority) >= 5 FROM orders
 UNION ALL SELECT 'price_rate', 1.0, true UNION ALL SELECT 'case_rate', 1.0, true UNION ALL SELECT 'repeated_ids', 0, true UNION ALL SELECT 'undated', 0, true
 UNION ALL SELECT 'misdated', sum((NOT date_diff('day', DATE '1998-01-01', o_orderdate::DATE) BETWEEN -400 AND 1095)::INT), sum((NOT date_diff('day', DATE '1998-01-01', o_orderdate::DATE) BETWEEN -400 AND 1095)::INT) = 0 FROM orders
-UNION ALL SELECT 'absurd', 0, true UNION ALL SELECT 'inverted', 0, true UNION ALL SELECT 'leaks', 0, true)""")
+UNION ALL SELECT 'absurd', 0, true UNION ALL SELECT 'inverted', 0, true UNION ALL SELECT 'leaks', 0, true UNION ALL SELECT 'persons', 0, true UNION ALL SELECT 'venues', 0, true)""")
 def gates(spark, sf):
     o = _t(spark, sf, "orders")
     p = F.col("o_totalprice")
@@ -386,3 +386,43 @@ def sitemap(spark, sf):
     o = _t(spark, sf, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("lastmod"))
     b = _t(spark, sf, "part").select(F.lit("brand").alias("kind"), F.col("p_brand").alias("key"), F.lit(None).cast("string").alias("lastmod")).distinct()
     return sinks.sitemap(o.unionByName(b), "https://site", AS_OF)
+
+
+@query("SELECT year(o_orderdate)::INTEGER AS label, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def hearing_years(spark, sf):
+    return A.slices(_t(spark, sf, "orders"), F.year("o_orderdate")).orderBy(F.desc("label"))
+
+
+@query("SELECT count(DISTINCT o_orderpriority)::BIGINT AS courts, round(avg((o_totalprice > 100000)::INT), 6) AS share, min(year(o_orderdate))::INTEGER AS first, max(year(o_orderdate))::INTEGER AS last FROM orders")
+def tiles(spark, sf):
+    return _t(spark, sf, "orders").agg(F.count_distinct("o_orderpriority").alias("courts"), F.round(F.avg((F.col("o_totalprice") > 100000).cast("int")), 6).alias("share"), F.min(F.year("o_orderdate")).alias("first"), F.max(F.year("o_orderdate")).alias("last"))
+
+
+@query("""WITH t AS (SELECT p_brand, p_size, p_retailprice, unnest(list_distinct(string_split(p_name, ' '))) AS tag FROM part)
+SELECT tag, sum((p_size >= 25)::INT)::BIGINT AS live, sum((p_size < 25)::INT)::BIGINT AS archived, min(p_size)::INTEGER AS first, round(median(p_retailprice), 4) AS median FROM t GROUP BY 1""")
+def tag_bundle(spark, sf):
+    t = _t(spark, sf, "part").select("p_size", "p_retailprice", F.explode(F.array_distinct(F.split("p_name", " "))).alias("tag"))
+    return t.groupBy("tag").agg(F.count_if(F.col("p_size") >= 25).alias("live"), F.count_if(F.col("p_size") < 25).alias("archived"), F.min("p_size").cast("int").alias("first"), _n(F.median("p_retailprice")).alias("median"))
+
+
+@query("""WITH g AS (SELECT n_name AS place, n_nationkey FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT coalesce(g.place, CASE WHEN g2.place IS NOT NULL THEN g2.place END) AS place, CASE WHEN g.place IS NOT NULL THEN 'municipality' WHEN g2.place IS NOT NULL THEN 'seat' END AS found_by, count(*)::BIGINT AS n
+FROM c LEFT JOIN g ON g.place = c.n_name LEFT JOIN g g2 ON lower(g2.place) = lower(CASE WHEN c.r_name = 'ASIA' THEN 'CHINA' ELSE c.r_name END) GROUP BY 1, 2""")
+def place_cascade(spark, sf):
+    n, r = _t(spark, sf, "nation"), _t(spark, sf, "region")
+    g = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("place"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    c = _t(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    at = places.locate(c, g, [("municipality", F.col("n_name")), ("seat", F.when(F.col("r_name") == "ASIA", "china").otherwise(F.col("r_name")))])
+    return at.groupBy("place", "found_by").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT o_custkey, count(*) AS n, list_distinct(list(o_orderstatus)) AS s FROM orders GROUP BY 1) SELECT o_custkey, n::BIGINT AS n, array_to_string(list_sort(s), '') AS kinds FROM p WHERE list_has_any(s, ['P'])""")
+def tag_membership(spark, sf):
+    p = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("o_orderstatus")).alias("s"))
+    return p.where(F.array_contains("s", "P")).select("o_custkey", "n", F.array_join("s", "").alias("kinds"))
+
+
+@query("SELECT o_orderkey, fact, value FROM (SELECT o_orderkey, unnest(['status', 'priority']) AS fact, unnest([CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END, o_orderpriority]) AS value FROM orders) WHERE value IS NOT NULL")
+def fact_rows(spark, sf):
+    facts = F.array(F.struct(F.lit("status").alias("fact"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("value")), F.struct(F.lit("priority").alias("fact"), F.col("o_orderpriority").alias("value")))
+    return _t(spark, sf, "orders").select("o_orderkey", F.explode(facts).alias("f")).select("o_orderkey", "f.*").where("value is not null")
