@@ -143,3 +143,19 @@ def fold_octets(c: Column, most: int = 75) -> Column:
         ),
     )
     return step["out"]
+
+
+def repair_ocr(c: Column) -> Column:
+    """Misread tokens of the fixed vocabulary: the currency, hearings, biddings and quotes; never names or figures."""
+    for pattern, to in (
+        (r"(?<![A-Za-z0-9_])K(?:[lI]v[lI]?|[MNH])(?![A-Za-z0-9_])", "KM"),
+        (r"(\d)[ ,.]00\s*[KX][MN](?![A-Za-z0-9_])", "$1,00 KM"),
+        (r"(?<![\p{L}])R(?iu:o[cč]i[sš]t[ea])(?![\p{L}])", "Ročište"),
+        (r"(?<![\p{L}])r(?iu:o[cč]i[sš]t[ea])(?![\p{L}])", "ročište"),
+        (r"(?<![\p{L}])(?i:nadmetanja)(?![\p{L}])", "nadmetanja"),
+        (r"(?<![\p{L}])(?i:nadmetanje)(?![\p{L}])", "nadmetanje"),
+        ("[‘’]", "'"),
+        ("[“”]", '"'),
+    ):
+        c = F.regexp_replace(c, pattern, to)
+    return c

@@ -114,3 +114,7 @@ def test_costs(spark):
     assert [r.r for r in rows] == [0.05, 0.0, 0.0, 0.03, 0.0, 0.05] and [r.f for r in rows] == [500.0, 500.0, 500.0, 500.0, 150.0, 1500.0]
     one = spark.range(1).select(numbers.cost_breakdown(F.lit(50000.0), F.lit(5000.0), F.lit(0.05), F.lit(250.0)).alias("c"), numbers.deposit_for(F.lit(None).cast("double"), F.lit(500000.0)).alias("d"), geo.distance_km(F.lit(43.85), F.lit(18.41), F.lit(43.34), F.lit(17.81)).alias("km")).first()
     assert one.c.balance == 45000 and one.c.before_hearing + one.c.after_hearing == one.c.total and one.d == 10000 and 70 < one.km < 80
+
+
+def test_ocr_repair(of):
+    assert of(text.repair_ocr, "500,00 KIvI i 5 00 XN, Rociste i ROČIŠTE, Nadmetanje ‘x’") == ["500,00 KM i 5,00 KM, Ročište i Ročište, nadmetanje 'x'"]

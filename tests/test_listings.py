@@ -118,3 +118,18 @@ def test_search(spark):
     assert [r.id for r in search.matching(df, F.col("t"), "stan", {"f": ["b", "c"]}).collect()] == [2]
     assert [r.id for r in search.page(df, [F.col("id")], 1, 2).collect()] == [3]
     assert search.index(df, "id", F.col("t")).where("token = 'stan'").count() == 2
+
+
+def test_places(spark):
+    from noticeworks.operators import places
+
+    g = spark.createDataFrame([("Tuzla", 44.54, 18.67), ("Široki Brijeg", 43.38, 17.59), ("Sarajevo", 43.85, 18.41)], "place string, lat double, lon double")
+    rows = spark.createDataFrame([(1, "TUZLA", None, "Sarajevo"), (2, None, "Široki-Brijeg", "Sarajevo"), (3, "Nigdje", None, "Sarajevo"), (4, None, None, None)], "id int, m string, s string, c string")
+    at = places.locate(rows, g, [("municipality", F.col("m")), ("settlement", F.col("s")), ("seat", F.col("c"))])
+    assert {r.id: (r.place, r.found_by, r.exact) for r in at.collect()} == {1: ("Tuzla", "municipality", True), 2: ("Široki Brijeg", "settlement", True), 3: ("Sarajevo", "seat", False), 4: (None, None, False)}
+    assert places.counters(at).first().asDict() == {"exact": 2, "by_seat": 1, "unplaced": 1}
+    assert {r.place: (r.total, r.exact) for r in places.rollup(at, F.lit(True)).collect()} == {"Tuzla": (1, True), "Široki Brijeg": (1, True), "Sarajevo": (1, False)}
+    near = places.nearest(g.select(F.col("place").alias("p"), "lat", "lon"), g, "p", "place", 2).where("rank = 2").collect()
+    assert {r.p: r.site for r in near} == {"Tuzla": "Sarajevo", "Sarajevo": "Tuzla", "Široki Brijeg": "Sarajevo"}
+    names = spark.createDataFrame([("Žepče",), ("Zepce",), ("Žepče",), ("ŽEPČE",)], "n string")
+    assert [(r.key, r.name, r.n) for r in places.commonest_spelling(names, F.col("n")).collect()] == [("zepce", "Žepče", 2)]
