@@ -122,8 +122,8 @@ def shingles_of(hashes: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple
     return out, to
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of ``text``; one longer row stays whole."""
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of ``text`` and at most ``rows`` rows; one longer row stays whole."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -132,7 +132,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20)
         at = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         i = 0
         while i < len(col):
-            j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+            j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1))
             yield batch.slice(i, j - i)
             i = j
 

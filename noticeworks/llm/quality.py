@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, NON_SPACE, by_bytes, documents, mix64, text_or_empty, words_of
 
 
+#: Rows of a step: counts of words by row are dense.
+ROWS = 256
 #: Scores from here on are taken for label 1.
 THRESHOLD = 0.3
 
@@ -104,7 +106,7 @@ class Model:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str = "t", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for b in by_bytes(batches, column, most):
+    for b in by_bytes(batches, column, most, ROWS):
         yield b, b.column(b.schema.get_field_index(column))
 
 
@@ -233,7 +235,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, text, 1 << 20):
+        for b in by_bytes(batches, text, 1 << 20, ROWS):
             t = b.column(at)
             yield b.filter(pa.array(shared.value.scores(t.fill_null("") if t.null_count else t) >= THRESHOLD))
 
