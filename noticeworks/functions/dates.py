@@ -11,9 +11,9 @@ ZONE = "Europe/Sarajevo"
 def parse_date(c: Column) -> Column:
     """``d.M.yyyy`` with or without a last dot, or an ISO prefix; days that no calendar has are null."""
     t = F.trim(c)
-    local = F.regexp_extract(t, r"^(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})\.?\z", 0)
-    parts = [F.regexp_extract(t, r"^(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})\.?\z", k) for k in (3, 2, 1)]
-    iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1)
+    local = F.regexp_extract(t, r"^(\d\d?)[.] ?(\d\d?)[.] ?(\d{4})[.]?\z", 0)
+    parts = [F.regexp_extract(t, r"^(\d\d?)[.] ?(\d\d?)[.] ?(\d{4})[.]?\z", k) for k in (3, 2, 1)]
+    iso = F.regexp_extract(t, r"^(\d{4}(?:-\d\d){2})", 1)
     text = F.when(local != "", F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0"))).when(iso != "", iso)
     return F.try_to_date(text, "yyyy-MM-dd")
 
@@ -25,7 +25,7 @@ def plausible(date: Column, published: Column) -> Column:
 
 def sale_date_in(text: Column, as_of: Column) -> Column:
     """The first date in a text from ``as_of`` on, else its latest."""
-    found = F.array_sort(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,2}\.\s?\d{1,2}\.\s?\d{4})"), 1), parse_date)))
+    found = F.array_sort(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(r"(\d\d?[.] ?\d\d?[.] ?\d{4})"), 1), parse_date)))
     return F.coalesce(F.get(F.filter(found, lambda d: d >= as_of), 0), F.try_element_at(found, F.lit(-1)))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import DEPOSIT_CAP, MOST_PLAUSIBLE, js_round, parse_amount
+from .patterns import any_of
 from .text import case_of_capitals, fold, tidy, to_latin
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-_MARK = "(?:Ips|Ipl|Ip|I|Kom|Kmp|Mals|Mal|Ps|Pl|P|Su|Rev|Ri|Reg|Fi)"
+_MARK = any_of("Ips, Ipl, Ip, I, Kom, Kmp, Mals, Mal, Ps, Pl, P, Su, Rev, Ri, Reg, Fi")
 _CASE = rf"(?i){_B}(\d{{2,3}})\s+0\s+({_MARK})\s+(\d{{4,9}})\s+(\d{{2}})\s+({_MARK}(?:\s*\d)?){_E}"
 
 
@@ -28,7 +29,7 @@ def case_number(text: Column) -> Column:
 def auction_round(text: Column) -> Column:
     """First, second or third hearing, asked in this order."""
     t = fold(F.regexp_replace(text, r"\n+", " "))
-    noun = r"(?:\w+\s+){0,2}(?:rocist[eua]|prodaj\w*|nadmetanj\w*)"
+    noun = r"(?:\S+\s+){0,2}" + any_of("rociste, rocistu, rocista, prodaj, nadmetanj")
     out = None
     for name, stem, whole in (("prvo", "prv[aeoiu]m?", "prvu"), ("drugo", "drug[aeoiu]m?", "drugu"), ("trece", "trec[aeoiu]m?g?", "trecu")):
         hit = t.rlike(rf"{_B}(?:{stem})\s+{noun}") | t.rlike(rf"{_B}rociste\s+za\s+{whole}\s+prodaju")
@@ -39,17 +40,17 @@ def auction_round(text: Column) -> Column:
 def sale_method(text: Column) -> Column:
     t = fold(F.regexp_replace(text, r"\n+", " "))
     return (
-        F.when(t.rlike(r"neposredn\w+\s+pogodb"), "neposredna-pogodba")
-        .when(t.rlike(r"prikupljanj\w+\s+(?:pismenih\s+)?ponud"), "prikupljanje-ponuda")
-        .when(t.rlike(r"usmen\w*\s*(?:javn\w*\s*)?nadmetanj|javn\w*\s+nadmetanj"), "usmeno-javno-nadmetanje")
+        F.when(t.rlike(any_of("neposredn* pogodb")), "neposredna-pogodba")
+        .when(t.rlike(any_of("prikupljanj* ponud, prikupljanj* pismenih ponud")), "prikupljanje-ponuda")
+        .when(t.rlike(any_of("usmen* nadmetanj, usmen* javn* nadmetanj, javn* nadmetanj")), "usmeno-javno-nadmetanje")
         .otherwise("nepoznato")
     )
 
 
 def sale_time(text: Column) -> Column:
     """``HH:mm``; a bare hour counts in full."""
-    full = rf"(?iu){_B}([0-2]?\d)[.,:]\s?([0-5]\d)\s*(?:sat[ia]?|[cč]asova|h{_E})"
-    bare = rf"(?iu){_B}u\s+([0-2]?\d)\s*(?:sati|[cč]asova){_E}"
+    full = rf"(?iu){_B}(\d\d?)[:.,] ?([0-5][0-9])\s*(?:{any_of('sat, casova', marks=True)}|h{_E})"
+    bare = rf"(?iu){_B}u\s+(\d\d?)\s*{any_of('sati, casova', marks=True)}{_E}"
     hour, minute, alone = F.regexp_extract(text, full, 1), F.regexp_extract(text, full, 2), F.regexp_extract(text, bare, 1)
     return F.when(hour.try_cast("int") <= 23, F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute)).when(alone.try_cast("int") <= 23, F.concat(F.lpad(alone, 2, "0"), F.lit(":00")))
 
@@ -60,10 +61,10 @@ def viewing(text: Column) -> Column:
 
 def venue(text: Column) -> Column:
     """The court or room of a hearing, without what follows it in the header."""
-    court = F.regexp_extract(text, rf"(?iu){_B}(?:u\s+)?(?:zgradi\s+)?(?:prostorijama\s+)?(?:Op[cć]inskog|Osnovnog|Kantonalnog|Okru[zž]nog|Privrednog|ovog)\s+sud[au][^.]{{0,140}}", 0)
-    room = F.regexp_extract(text, rf"(?iu){_B}(?:soba|kancelarij[ai]|ured|sudnic[ai])\s*(?:br(?:oj)?\.?\s*)?[\dA-Za-z/.-]{{1,12}}", 0)
+    court = F.regexp_extract(text, rf"(?iu){_B}(?:{any_of('u, zgradi, prostorijama')}\s+){{0,3}}{any_of('opcinskog, osnovnog, kantonalnog, okruznog, privrednog, ovog', marks=True)}\s+{any_of('suda, sudu')}[^.]{{0,140}}", 0)
+    room = F.regexp_extract(text, rf"(?iu){_B}{any_of('soba, kancelarija, kancelariji, ured, sudnica, sudnici')}\s*(?:broj|br)?[. ]*[\w/.-]{{1,12}}", 0)
     v = F.coalesce(_some(court), _some(room))
-    for tail in (r"\s*broj\s+\d{2,3}\s+0\s+.*", r",?\s*(?<!\w)a\s+prodaja\s+.*", r",?\s*(?<!\w)ul\.?\s*", r",?\s*(?<!\w)od\s+\d+\s*", r",?\s*(?<!\w)dana\s+[\d.\s]*", r",?\s*(?<!\w)u\s*"):
+    for tail in (r"\s*broj\s+\d+ +0 .*", r",?\s*(?<!\w)a\s+prodaja\s+.*", r",?\s*(?<!\w)ul\.?\s*", r",?\s*(?<!\w)od\s+\d+\s*", r",?\s*(?<!\w)dana\s+[\d.\s]*", r",?\s*(?<!\w)u\s*"):
         v = F.regexp_replace(v, rf"(?is){tail}\z", "")
     return _some(tidy(v))
 
@@ -83,12 +84,12 @@ def sale_type(code: Column, label: Column) -> Column:
 
 
 def infer_sale_type(text: Column) -> Column:
-    t = F.lower(to_latin(text))
+    t = fold(text)
     rules = (
-        (rf"nekretnin|nepokretn|{_B}stan[auomi]?{_E}|{_B}kuc[aeiu]{_E}|parcel|zemlji[sš]t|poslovn\w+\s+prostor|apartman", "nekretnine"),
-        (rf"{_B}vozil|putni[cč]k|marke\s+\w+|registarsk", "vozila"),
-        (r"ma[sš]in|oprem|ure[dđ]aj|kompresor|agregat|tehnik", "tehnika"),
-        (r"namje[sš]taj|name[sš]taj|stolic|orman|krevet", "namjestaj"),
+        (any_of("nekretnin, nepokretn, parcel, zemljist, poslovn* prostor, apartman") + rf"|{_B}(?:stan[auomi]?|kuc[aeiu]){_E}", "nekretnine"),
+        (any_of("putnick, registarsk, teretn* vozil") + rf"|{_B}vozil|marke\s+\w", "vozila"),
+        (any_of("masin, oprem, uredaj, kompresor, agregat, tehnik"), "tehnika"),
+        (any_of("namjestaj, namestaj, stolic, orman, krevet"), "namjestaj"),
     )
     out = None
     for pattern, v in rules:
@@ -101,7 +102,7 @@ def infer_sale_type(text: Column) -> Column:
 #: An amount with the 130 characters ahead of it, the start of its line if near, and the rest of its line.
 _AMOUNT = (
     r"(?i)(?<=(\A[\s\S]{0,129}|[\s\S]{130}))(?<!\d)(?<!\d[.,])"
-    r"(\d[\d.,   ]{0,18}\d|\d)\s*(?:KM|BAM|K\.M\.)(?![A-Za-z0-9_])(?=([^\n]*))"
+    r"(\d(?:[\d.,   ]{0,18}\d)?)\s*(?:BAM|K\.M\.|KM)(?![A-Za-z0-9_])(?=([^\n]*))"
 )
 
 
@@ -112,24 +113,24 @@ def amounts(text: Column) -> Column:
 
     def one(z: Column) -> Column:
         context = F.replace(z["0"], F.lit("\n"), F.lit(" "))
-        c = F.lower(context)
+        c = fold(context)
         per_cent = F.regexp_extract(c, r"(\d{2})\s*%", 1).try_cast("double")
         part = F.regexp_extract(c, r"1\s*/\s*(\d{1,2})", 1).try_cast("double")
         tenth = F.when(part.isNotNull(), part).when(c.contains("desetin"), 10.0).when(c.contains("petin"), 5.0)
-        of_floor = F.when(per_cent > 0, 100 / per_cent).when(c.rlike(r"tre[cć]in|1\s*/\s*3"), 3.0).when(c.rlike(r"polovin|1\s*/\s*2"), 2.0)
+        of_floor = F.when(per_cent > 0, 100 / per_cent).when(c.rlike(r"trecin|1\s*/\s*3"), 3.0).when(c.rlike(r"polovin|1\s*/\s*2"), 2.0)
         role = (
-            F.when(c.rlike(r"v\.\s?sp\.|radi\s+naplate|nov[cč]anog\s+potra[zž]ivanja|duguje|glavnog\s+duga"), "debt")
-            .when(context.rlike(r"\.{4,}\s*\z") | c.rlike(r"(?:^|[-–•])\s*[^.;:]{3,80}(?:po\s+)?po[cč]etn\w*\s+cijen\w*\s+od\s*\z"), "item")
-            .when(c.rlike(r"jemstv|u[cč]e[sš][cć]|osiguranj|kapar|depozit|predujam|garantni"), "deposit")
-            .when(c.rlike(r"ispod|ne\s+mo[zž]e\s+.{0,30}prodati|manje\s+od|najni[zž]|po[cč]etn|polazn|ne\s+smije"), "floor")
-            .when(c.rlike(r"utvr[dđ]en|pro[ck]i?jenjen|procenjen|tr[zž]i[sš]n|vrijednost|vrednost|iznos[ei]|vrijede"), "appraised")
+            F.when(c.rlike(any_of("v.sp., radi naplate, novcanog potrazivanja, duguje, glavnog duga")), "debt")
+            .when(context.rlike(r"\.{4,}\s*\z") | c.rlike(r"(?:^|[•–-])[^:;.]{3,90}" + any_of("pocetn* cijen* od") + r"\s*\z"), "item")
+            .when(c.rlike(any_of("jemstv, ucesc, osiguranj, kapar, depozit, predujam, garantni")), "deposit")
+            .when(c.rlike(any_of("ispod, manje od, najniz, pocetn, polazn, ne smije") + r"|ne\s+moze\s[^.]{0,30}prodati"), "floor")
+            .when(c.rlike(any_of("utvrden, procijenjen, procjenjen, procenjen, trzisn, vrijednost, vrednost, iznose, iznosi, vrijede")), "appraised")
             .otherwise("unknown")
         )
         before = F.regexp_extract(z["0"], r"([^\n]*)\z", 1)
         near = (F.length(before) < 130) | (F.length(z["0"]) < 130)
         return F.struct(
             parse_amount(z["1"]).alias("amount"), role.alias("role"), F.when(role == "deposit", tenth).when(role == "floor", of_floor).alias("part"),
-            c.rlike(r"po[cč]etn|najni[zž]|polazn").alias("starting"), ((F.length(F.trim(z["2"])) <= 2) & near).alias("row"),
+            c.rlike(any_of("pocetn, najniz, polazn")).alias("starting"), ((F.length(F.trim(z["2"])) <= 2) & near).alias("row"),
         )
 
     found = F.transform(F.arrays_zip(*(g.alias(str(k)) for k, g in enumerate(groups))), one)
@@ -159,21 +160,24 @@ def money(found: Column) -> Column:
 
 # --- cadastral ----------------------------------------------------------------------------------------
 
-_PROCEDURE = r"(?iu)prodaj|zaklju[čc]|izvr[šs]|ro[čc]i[šs]t|nekretnin|pokretn|kanton|[žz]upanij|nadmetanj|osiguranj|vozil|motorn|predmet|ugovor|vlasni[šs]tv|iznos|marak|sudij|kupac"
-_SCALE = r"(?iu)distrikt|federacij|republik|entitet|op[ćc]in|op[šs]tin"
+#: Stems of procedure and of regions, on folded names.
+_NO_PLACE = any_of(
+    "prodaj, zakljuc, izvrs, rocist, nekretnin, pokretn, kanton, zupanij, nadmetanj, osiguranj, vozil, motorn, predmet, ugovor, vlasnistv, iznos, marak, sudij, kupac, "
+    "distrikt, federacij, republik, entitet, opcin, opstin"
+)
 
 
 def is_place(name: Column) -> Column:
     """Whether a name can be a place's: letters that can be said, no ordinal, person, procedure or region."""
     letters = F.length(F.regexp_replace(name, r"[^\p{L}]", ""))
     return (
-        (F.length(name) <= 60) & (letters >= 3) & name.rlike(r"(?i)[aeiour]") & ~name.rlike(r"(?iu)^(?:prv|drug|tre[ćc]|[čc]etvrt|pet)(?:oj|om|og|em|[aoeiu])?\z")
-        & ~name.rlike(r"^\p{Lu}\p{L}+\s+\p{Lu}\p{L}*[oe]vi[ćc]\z") & ~name.rlike(_PROCEDURE) & ~name.rlike(_SCALE)
+        (F.length(name) <= 60) & (letters >= 3) & name.rlike(r"(?i)[aeiour]") & ~fold(name).rlike("^" + any_of("prv, drug, trec, cetvrt, pet") + r"(?:oj|om|og|em|[aoeiu])?\z")
+        & ~name.rlike(r"^\p{Lu}\p{L}+\s+\p{Lu}\p{L}*[oe]vi[ćc]\z") & ~fold(name).rlike(_NO_PLACE)
     )
 
 
 def clean_places(names: Column) -> Column:
-    bare = F.transform(names, lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, r"^[SN]\.?\s?P\.?(?:undefined)?[\s_.–-]*(?=\p{Lu})", ""), r"\s+", " ")))
+    bare = F.transform(names, lambda n: F.trim(F.regexp_replace(F.regexp_replace(n, r"^(?:S|N)[.]? ?P(?:[.]?undefined)?[^\p{L}\p{N}]*(?=\p{Lu})", ""), r"\s+", " ")))
     return F.slice(F.array_distinct(F.filter(bare, is_place)), 1, 25)
 
 
@@ -189,17 +193,18 @@ def sanitised(kc: Column, zk: Column, ko: Column) -> Column:
 
 def cadastral(text: Column) -> Column:
     t = to_latin(text)
-    number = r"(?:br(?:oj)?\.?\s*)?"
-    kc = F.regexp_extract_all(t, F.lit(rf"(?iu){_B}(?:k\.?\s?[cč]\.?|parcel\w*)\s*{number}(\d+(?:/\d+)?)"), 1)
-    zk = F.regexp_extract_all(t, F.lit(rf"(?iu){_B}(?:z\.?\s?k\.?|zemlji[sš]noknji[zž]n\w*)\s*(?:ul(?:o[zž]ak|\.)?)?\s*{number}(\d+(?:/\d+)?)"), 1)
-    ko = F.regexp_extract_all(t, F.lit(r"(?<![\p{L}\p{N}])[Kk]\.?\s?[Oo]\.?\s+((?:[SN]P[_\s]*)?\p{Lu}[\p{L}\p{N}_-]+(?:\s+\p{Lu}[\p{L}\p{N}_-]+)?)"), 1)
+    name = r"\p{Lu}[-_\p{L}\p{N}]+"
+    number = r"(?:broj|br)?[. ]*"
+    kc = F.regexp_extract_all(t, F.lit(rf"(?iu){_B}{any_of('k.c., parcel*', marks=True)}[. ]*{number}(\d+(?:/\d+)?)"), 1)
+    zk = F.regexp_extract_all(t, F.lit(rf"(?iu){_B}{any_of('z.k., zemljisnoknjizn*', marks=True)}[. ]*{any_of('ulozak, ul.', marks=True)}?\s*{number}(\d+(?:/\d+)?)"), 1)
+    ko = F.regexp_extract_all(t, F.lit(rf"(?<!\p{{L}})(?<!\p{{N}})[Kk][. ]{{0,2}}[Oo][.]?\s+((?:[SN]P[_ ]*)?{name}(?:\s+{name})?)"), 1)
     return sanitised(kc, zk, ko)
 
 
 def settlement(ko: Column) -> Column:
     """The first place of a record without its district; capitals alone are re-cased."""
     first = F.get(clean_places(ko), 0)
-    name = F.trim(F.regexp_replace(F.regexp_replace(first, r"(?i)\s*[–-]?\s*mahala\s+[IVXLC]+\.?\z", ""), r"\s+(?:[IVXLC]{1,6}|\d{1,2})\.?\z", ""))
+    name = F.trim(F.regexp_replace(F.regexp_replace(first, r"(?i)[ –-]*mahala\s+[CILVX]+[.]?\z", ""), r"\s+(?:[CILVX]{1,6}|\d\d?)[.]?\z", ""))
     return F.when(is_place(name), case_of_capitals(name))
 
 

@@ -16,7 +16,7 @@ def _filled(c: Column) -> Column:
 
 def clean_headline(c: Column) -> Column:
     """A model's headline of 4 to 90 characters; none that echoes the official title."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), r"^[\s\-–—;,:]+|[\s;,:]+\z", ""))
+    t = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s{2,}", " "), r"^[-\s–—:;,]+|[:;,\s]+\z", ""))
     return F.when((F.length(t) >= 4) & ~(t.rlike(r"(?iu)^zaklju[cč]ak\b") & (F.length(t) > 40)), F.substring(t, 1, 90))
 
 
@@ -71,7 +71,7 @@ def headline(own: Column, sale_type: Column, description: Column, title: Column,
     for pattern, label in _KINDS:
         hit = text.rlike(rf"(?iu)(?<![\p{{L}}]){pattern}")
         kind = F.when(hit, label) if kind is None else kind.when(hit, label)
-    area = F.nullif(F.regexp_extract(text, r"(?iu)povr[sš]ine\s+(?:od\s+)?(\d[\d.,]*)\s*m\s*[²2]", 1), F.lit(""))
+    area = F.nullif(F.regexp_extract(text, r"(?iu)povr[sš]ine(?:\s+od)?\s+(\d[.,\d]*)\s*m\s?[2²]", 1), F.lit(""))
     place = case_of_capitals(F.coalesce(F.regexp_replace(F.get(ko, 0), r"(?i)^SP[_\s]*", ""), municipality))
     property_ = F.when((sale_type == "nekretnine") & kind.isNotNull(), F.concat_ws(" - ", F.concat_ws(" ", kind, F.concat(area, F.lit(" m²"))), place))
     parts = F.transform(F.split(description, r";"), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?iu)\s*[-–—,]?\s*(?:vrijednost\w*\s*)?[\d.,]+\s*KM.*\z", ""), r"[„“”\"']", "")))

@@ -45,7 +45,7 @@ def parse_area(c: Column) -> Column:
 def area_of(*texts: Column) -> Column:
     """Square metres, if all texts together name exactly one value."""
     joined = F.concat_ws(" \n ", *texts)
-    found = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(joined, F.lit(r"(?i)(\d[\d.,]*)\s?m(?:2|²)"), 1), parse_area)))
+    found = F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(joined, F.lit(r"(?i)(\d[.,\d]*)\s?m[2²]"), 1), parse_area)))
     return F.when(F.size(found) == 1, F.get(found, 0))
 
 

@@ -68,7 +68,7 @@ def html_to_text(c: Column) -> Column:
         (r"(?is)<xml\b[^>]*>.*?</xml>", " "),
         (r"(?is)<style\b[^>]*>.*\z", " "),
         (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</(p|div|tr|li|h[1-6]|table|ul|ol)>", "\n"),
+        (r"(?i)</(ul|ol|li|table|tr|p|div|h[1-6])>", "\n"),
         (r"(?i)</t[dh]>", "\t"),
         (r"<[^>]+>", " "),
     ):
@@ -149,7 +149,7 @@ def repair_ocr(c: Column) -> Column:
     """Misread tokens of the fixed vocabulary: the currency, hearings, biddings and quotes; never names or figures."""
     for pattern, to in (
         (r"(?<![A-Za-z0-9_])K(?:[lI]v[lI]?|[MNH])(?![A-Za-z0-9_])", "KM"),
-        (r"(\d)[ ,.]00\s*[KX][MN](?![A-Za-z0-9_])", "$1,00 KM"),
+        (r"(\d)[., ]00\s*[XK][NM](?![A-Za-z0-9_])", "$1,00 KM"),
         (r"(?<![\p{L}])R(?iu:o[cč]i[sš]t[ea])(?![\p{L}])", "Ročište"),
         (r"(?<![\p{L}])r(?iu:o[cč]i[sš]t[ea])(?![\p{L}])", "ročište"),
         (r"(?<![\p{L}])(?i:nadmetanja)(?![\p{L}])", "nadmetanja"),

@@ -23,7 +23,7 @@ def feed_items(df: DataFrame, order: list[Column], limit: int = 100) -> DataFram
 def feed(items: DataFrame, title: str) -> DataFrame:
     """One RSS document of feed items."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda r: r["line"]), "\n")
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>{title}</title>\n'
+    head = f"<?xml version='1.0' encoding='utf-8'?>\n<rss version='2.0'><channel><title>{title}</title>\n"
     return items.agg(F.concat(F.lit(head), body, F.lit("\n</channel></rss>\n")).alias("document"))
 
 

@@ -254,7 +254,7 @@ def quality_report_topn(spark, sf):
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script>', ' ', 'g') AS h FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|tr|li|h[1-6]|table|ul|ol)>', chr(10), 'g'), '(?i)</t[dh]>', chr(9), 'g'), '<[^>]+>', ' ', 'g') AS h FROM a),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(ul|ol|li|table|tr|p|div|h[1-6])>', chr(10), 'g'), '(?i)</t[dh]>', chr(9), 'g'), '<[^>]+>', ' ', 'g') AS h FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&ndash;', '–'), '&mdash;', '—'), '&amp;', '&') AS h FROM b),
 d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '\.{4,}', '....', 'g'), '[ \t\f\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS h FROM c)
 SELECT page_id, sha256(regexp_replace(h, '^\s+|\s+$', '', 'g')) AS sha, length(regexp_replace(h, '^\s+|\s+$', '', 'g'))::INTEGER AS chars FROM d""")

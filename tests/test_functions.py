@@ -76,7 +76,7 @@ def test_money(of):
         build,
         "radi naplate duga u iznosu od 1.000,00 KM. Nekretnine utvrđene vrijednosti iznose 47.425,06 KM, ne mogu se prodati ispod polovine, tj. 23.712,53 KM. Jemstvo 1/10 u iznosu 4.742,51 KM",
         "- umivaonik, po početnoj cijeni od 100,00 KM\n- ormar, po početnoj cijeni od 100,00 KM",
-        "Kosačica 30kg................500,00 KM",
+        "Kosačica 30kg.......500,00 KM",
     )
     assert (a.appraised, a.starting, a.deposit) == (47425.06, 23712.53, 4742.51)
     assert b.starting == 200.0 and c.appraised == 500.0

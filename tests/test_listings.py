@@ -18,7 +18,7 @@ LLM = "struct<headline:string,itemDescription:string,itemTags:array<string>,case
 
 def test_descriptions():
     text = "ODREĐUJE SE ročište radi prodaje pokretnih stvari izvršenika:\n\nUgaona garnitura vrijednost 1.200,00 KM\nLCD TV 500,00 KM\n\n2. Prodaja će se vršiti putem nadmetanja"
-    assert describe.describe(text, "Zaključak") == "Ugaona garnitura vrijednost 1.200,00 KM; LCD TV 500,00 KM"
+    assert describe.describe(text, "Zaključak") == "; ".join(text.split("\n")[2:4])
     assert describe.describe("x", "Prva prodaja (Kosačica za travu GGP ITALY, T 484 TR)") == "Kosačica za travu GGP ITALY, T 484 TR"
     assert describe.describe("prodaju popisanih stvari:\nOpis; Količina; Procijenjena vrijednost\nViljuškar marke „Linde“ crvene boje, tip H45D", "").startswith("Viljuškar")
     for bad in ("Konstatuje se da je vrijednost nekretnine", "Određuje se prodaja usmenim javnim", "Izvršno odjeljenje.", "05.2026. godine sa početkom u 09,00 sati", "Određuje", "09,00", "", None, "Red. Br. Opis popisanih stvari Kom. Procijenjena Vrijednost"):
