@@ -237,3 +237,36 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i in (1, 4, 5, 6, 7, 8, 10, 11, 12, None, None)) and out.columns == docs.columns
     clean = {r.doc_id: r for r in corpus_pipeline.secrets_stage(spark, docs, SF).collect()}
     assert clean[12].text.count("[SECRET]") == 3 and clean[12].n_chars == len(clean[12].text) and clean[4].text is None
+
+
+def test_passages_over_added_and_missing_words():
+    """Near copies with one edit or two: wherever the whole passage qualifies by brute force, a row covers it, whatever one anchor there is."""
+    r = np.random.default_rng(7)
+    tried = 0
+    for trial in range(300):
+        n, edits = ((55, 1), (60, 1), (100, 2), (300, 2))[trial % 4]
+        w = r.integers(1, 2**60, n).astype(np.uint64)
+        v = list(w)
+        for _ in range(edits):
+            at = int(r.integers(0, len(v)))
+            kind = trial // 4 % 3
+            v[at : at + (kind > 0)] = [] if kind == 2 else [np.uint64(r.integers(1, 2**60))]
+        around = [r.integers(1, 2**60, int(r.integers(0, 40))).astype(np.uint64) for _ in range(4)]
+        texts = [np.concatenate([around[0], w, around[1]]), np.concatenate([around[2], np.array(v, np.uint64), around[3]])]
+        a, b = (simhash_dedup.shingles_of(t, np.array([0, len(t)]))[0] for t in texts)
+        inner = [(len(around[0]), len(around[0]) + n - 4), (len(around[2]), len(around[2]) + len(v) - 4)]
+        x, y = set(a[slice(*inner[0])].tolist()), set(b[slice(*inner[1])].tolist())
+        if min(n, len(v)) < 50 or len(x & y) / len(x | y) < 0.8:
+            continue
+        tried += 1
+        where = {t: k for k, t in enumerate(b.tolist())}
+        shared = [(k, where[t]) for k, t in enumerate(a.tolist()) if t in where]
+        # words changed at a passage's very ends belong to no shared shingle
+        ends = [(f(k for k, _ in shared), f(k for _, k in shared)) for f in (min, max)]
+        for anchor in (shared[0], shared[-1], shared[int(r.integers(0, len(shared)))]):
+            rows = substring_dedup.passages(a, b, [anchor])
+            assert any(p <= ends[0][0] and ends[1][0] < q and s <= ends[0][1] and ends[1][1] < e for p, q, s, e, _ in rows), (n, edits, kind)
+            for p, q, s, e, sim in rows:
+                c, d = set(a[p:q].tolist()), set(b[s:e].tolist())
+                assert min(q - p, e - s) >= 46 and len(c & d) / len(c | d) == pytest.approx(sim) and sim >= 0.8
+    assert tried > 200
