@@ -3,10 +3,14 @@
 Each text becomes the set of its 5-word shingles (lower-cased words of letters and digits; a text of
 fewer words is one shingle) and a SimHash of 256 bits. Texts with equal sets are one node from the start.
 Each of several tables groups nodes by randomly sampled bits; the number of tables follows from the bits
-and from ``MISS``, the chance that a pair right at similarity 0.8 meets in none. A bucket of more than
-``CAP`` nodes is regrouped by additional sampled bits, several times over with other bits. Pairs of a bucket within
+and from ``MISS``, the chance that a pair right at similarity 0.8 meets in none. Pairs of a bucket within
 ``RADIUS`` bits are candidates, and those with a Jaccard similarity of at least 0.8 are links. A
 document's class is the least doc_id that links lead to.
+
+A bucket of more than ``CAP`` nodes is first regrouped by additional sampled bits, several times over with
+other bits, which links most of its copies; then its nodes are compared block by block: each with the nearest
+node of another class in each block, and at last with every node of another class. So all pairs of a bucket
+that could join classes are compared, whatever its size.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ RADIUS = round(BITS * APART + 3.3 * math.sqrt(BITS * APART * (1 - APART)))
 MISS = 0.004
 #: Nodes of a bucket beyond which it is regrouped by more bits.
 CAP = 512
+#: Nodes of an oversized bucket that a task compares with as many others at once.
+BLOCK = 4096
 #: Regroupings of an oversized bucket, each by other bits.
 AGAIN = 4
 #: Nodes whose ids may be broadcast (8 bytes each).
@@ -174,26 +180,84 @@ def _pairs(rows: DataFrame, within: Callable[[np.ndarray], np.ndarray] | None =
     return rows.repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def candidates(nodes: DataFrame, cap: int = CAP) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes (node, fp)`` that share a bucket and differ in at most RADIUS bits."""
+def _blocks(rows: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of oversized buckets with different labels, no more than RADIUS bits apart, of ``rows (tab, key, n, node, fp, label)``.
+
+    Each block of a bucket is compared with each. With ``nearest`` a node has only the nearest of a block.
+    """
+
+    def compared(fp, label, x, y):
+        for i in range(0, len(x), 256):
+            u = x[i : i + 256]
+            apart = np.zeros((len(u), len(y)), np.uint16)
+            for k in range(BITS // 64):
+                apart += np.bitwise_count(fp[u, k, None] ^ fp[None, y, k])
+            apart[label[u, None] == label[None, y]] = BITS + 1
+            if nearest:
+                at = apart.argmin(1)
+                good = apart[np.arange(len(u)), at] <= RADIUS
+                yield u[good], y[at[good]]
+            else:
+                p, q = np.nonzero(apart <= RADIUS)
+                yield u[p], y[q]
+
+    def run(batches):
+        for b, starts in in_groups(batches, 4):
+            lo, hi, own, node, label = (b.column(k).to_numpy() for k in range(2, 7))
+            fp = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            for i, j in zip(starts.tolist(), starts[1:].tolist()):
+                values, counts = np.unique(label[i:j], return_counts=True)
+                if len(values) < 2:
+                    continue
+                at = np.arange(i, j)
+                rest = label[at] != values[counts.argmax()]  # nodes of the largest class aren't compared with one another
+                if lo[i] == hi[i]:
+                    ways = [(at[rest], at)]
+                else:
+                    left = own[at] == lo[i]
+                    ways = [(at[left & rest], at[~left]), (at[~left & rest], at[left] if nearest else at[left & ~rest])]
+                for x, y in ways:
+                    if len(x) and len(y):
+                        for p, q in compared(fp, label, x, y):
+                            for k in range(0, len(p), 100_000):
+                                u, v = node[p[k : k + 100_000]], node[q[k : k + 100_000]]
+                                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("tab", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "fp")
+    order = ("tab", "key", "lo", "hi")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+
+
+def candidates(nodes: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``(a, b)`` of ``nodes (node, fp)`` that share a bucket and differ in at most RADIUS bits, and the rows ``(tab, key, n, node, fp)`` of oversized buckets.
+
+    Of oversized buckets the pairs are those that regroupings keep together.
+    """
     bits, tables = plan_tables(nodes.count())
-    rows, out, turn = _keyed(nodes, bits, tables), [], 1
+    rows, out, hot, turn = _keyed(nodes, bits, tables), [], None, 1
     while True:
         large = written(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap), "large")
         out.append(_pairs(rows.join(large.select("tab", "key"), ["tab", "key"], "left_anti")))
         if not large.limit(1).count():
             break
         over = rows.join(large, ["tab", "key"])
-        if turn > 3:  # nodes that no bits tell apart: each against the bucket's first, all within RADIUS of it
-            first = over.groupBy("tab", "key").agg(F.min(F.struct("node", "fp")).alias("f"))
-            star = over.join(first, ["tab", "key"]).select(F.col("f.node").alias("a"), F.col("node").alias("b")).where("a <> b")
-            out.append(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        hot = over if turn == 1 else hot
+        if turn > 3:
             break
         rows, turn = written(_deeper(over, bits, turn), "deeper"), turn + 1
     union = out[0]
     for more in out[1:]:
         union = union.unionByName(more)
-    return union.distinct() if len(out) > 1 else union
+    return (union.distinct() if len(out) > 1 else union), hot
+
+
+def joining(hot: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
+    """Candidate pairs of oversized buckets whose nodes ``links`` don't lead from one to the other."""
+    rows = hot.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("tab", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("tab", "key")
+    return written(_blocks(rows.join(mixed, ["tab", "key"]), nearest), "joining")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
@@ -238,12 +302,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     table = written(prints(docs, text, id_col).withColumn("row", F.monotonically_increasing_id()), "prints")
     real = table.where("n > 0 and id is not null")
     nodes = written(real.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.first("fp").alias("fp")), "nodes")
-    pairs = written(candidates(nodes, cap), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_NODES
-    sets = written(real.select(F.col("row").alias("node"), "sh").join(F.broadcast(wanted) if few else wanted, "node", "left_semi"), "sets")
-    links = written(verified(pairs, sets), "links")
-    dropped(spark, sets, pairs, wanted)
+
+    def linked_by(pairs: DataFrame) -> DataFrame:
+        wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+        few = wanted.count() <= BROADCAST_NODES
+        sets = written(real.select(F.col("row").alias("node"), "sh").join(F.broadcast(wanted) if few else wanted, "node", "left_semi"), "sets")
+        out = written(verified(pairs, sets), "links")
+        dropped(spark, sets, pairs, wanted)
+        return out
+
+    found, hot = candidates(nodes, cap)
+    links = linked_by(written(found, "pairs"))
+    for nearest in (True, False) if hot is not None else ():
+        more = joining(hot, links, nearest)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(linked_by(more))
     labels = components(links)
     least = nodes.select("node", "least").join(labels, "node")
     of_label = least.groupBy("label").agg(F.min("least").alias("class_id"))

@@ -270,3 +270,21 @@ def test_passages_over_added_and_missing_words():
                 c, d = set(a[p:q].tolist()), set(b[s:e].tolist())
                 assert min(q - p, e - s) >= 46 and len(c & d) / len(c | d) == pytest.approx(sim) and sim >= 0.8
     assert tried > 200
+
+
+def test_oversized_buckets_without_a_centre_at_the_front(spark):
+    """Copies alike to one template and not to one another are one class, though the template isn't a bucket's first node."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    words = [word() for _ in range(400)]
+    rows = []
+    for i in range(300):
+        w = list(words)
+        for k in range(6):
+            w[r.randrange(66 * k, 66 * k + 60)] = word()
+        rows.append((i, " ".join(w)))
+    rows.append((1000, " ".join(words)))
+    want = classes_by_brute_force(rows)
+    assert set(want.values()) == {0}
+    got = {x.doc_id: x.class_id for x in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cap=2).collect()}
+    assert got == want
