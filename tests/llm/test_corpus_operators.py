@@ -288,3 +288,24 @@ def test_oversized_buckets_without_a_centre_at_the_front(spark):
     assert set(want.values()) == {0}
     got = {x.doc_id: x.class_id for x in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cap=2).collect()}
     assert got == want
+
+
+def test_pairs_of_oversized_buckets_are_all_compared(spark):
+    """Not only those that a regrouping keeps together: each pair within RADIUS that shares a bucket of any table."""
+    r = np.random.default_rng(3)
+    template = r.integers(0, 2, 256)
+    bits = np.array([template ^ (r.random(256) < 0.09) for _ in range(150)]).astype(np.uint8)
+    rows = [(i, bytearray(np.packbits(b).tobytes())) for i, b in enumerate(bits)]
+    nodes = spark.createDataFrame(rows, "node long, fp binary")
+    found, hot = simhash_dedup.candidates(nodes, cap=2)
+    more = simhash_dedup.joining(hot, spark.createDataFrame([], "a long, b long"), False)
+    got = {tuple(x) for x in found.collect()} | {tuple(x) for x in more.collect()}
+    n, tables = simhash_dedup.plan_tables(150)
+    want = set()
+    for t in range(tables):
+        held = defaultdict(list)
+        for i, b in enumerate(bits):
+            held[b[simhash_dedup._order(t, 0)[:n]].tobytes()].append(i)
+        want |= {(i, j) for g in held.values() for i in g for j in g if i < j and (bits[i] != bits[j]).sum() <= simhash_dedup.RADIUS}
+    assert got == want and len(want) > 1000
+    assert {tuple(x) for x in found.collect()} < want
