@@ -62,8 +62,21 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 
 def windows(text: str, i: int, j: int) -> list[tuple[int, int]]:
-    """Parts of a candidate that the network reads one by one."""
-    return [(k, min(k + BODY, j)) for k in range(i, max(i + 1, j - BODY // 2), BODY)]
+    """Parts of a candidate that the network reads one by one; half of each longer candidate's part lies in the next, and the last ends with it."""
+    starts = list(range(i, j - BODY, BODY // 2))
+    return [(k, k + BODY) for k in starts] + [(max(i, j - BODY), j)]
+
+
+def parts(i: int, j: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What of a candidate lies outside the patterns' matches ``spans``, which are in order of their starts; parts of LEAST or more."""
+    for s, _, e in spans:
+        if s - i >= LEAST:
+            yield i, min(s, j)
+        i = max(i, e)
+        if j - i < LEAST:
+            return
+    if j - i >= LEAST:
+        yield i, j
 
 
 def codes(text: str, i: int, j: int) -> np.ndarray:
@@ -194,11 +207,15 @@ def network_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net:
         for i, j in candidates(text):
             while k < len(spans) and spans[k][2] <= i:
                 k += 1
-            if any(s < j and e > i for s, _, e in spans[k : k + 3]):
-                continue
-            for a, b in windows(text, i, j):
-                where.append((d, i, j))
-                rows.append(codes(text, a, b))
+            touching, m = [], k
+            while m < len(spans) and spans[m][0] < j:
+                touching.append(spans[m])
+                m += 1
+            for p, q in parts(i, j, touching):
+                if _DIGIT.search(text, p, q):
+                    for a, b in windows(text, p, q):
+                        where.append((d, p, q))
+                        rows.append(codes(text, a, b))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i in range(0, len(rows), 4096):
         for (d, s, e), p in zip(where[i : i + 4096], net.scores(np.array(rows[i : i + 4096]))):
