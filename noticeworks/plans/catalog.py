@@ -268,6 +268,12 @@ def fold_slug(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", text.slug(F.substring("text", 1, 200)).alias("slug"))
 
 
+@query(f"""SELECT doc_id, sha256(slug) AS sha, length(slug)::INTEGER AS chars FROM (SELECT doc_id, trim(regexp_replace(replace(translate(lower(text), '{text.MARKED}', '{text.PLAIN}'), 'đ', 'd'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents)""")
+def fold_slug_whole(spark, sf):
+    t = _t(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+    return t.select("doc_id", F.sha2("slug", 256).alias("sha"), F.length("slug").alias("chars"))
+
+
 @query(r"""SELECT page_id, sha256(array_to_string(list_filter(string_split(html, chr(10)), lambda x: NOT (regexp_matches(x, '(?i)(mso-|font-family|font-size|line-height|@page|margin-(top|left|right|bottom)|\bMsoNormal\b)')
  OR (length(x) - length(replace(x, ':', '')) >= 3 AND length(x) - length(replace(x, ';', '')) >= 3))), chr(10))) AS sha FROM pages""")
 def style_noise(spark, sf):

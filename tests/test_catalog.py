@@ -29,3 +29,8 @@ def test_query(spark, duck, name):
         assert sorted(r.columns) == sorted(df.columns)
         at = [list(r.columns).index(c) for c in sorted(r.columns)]
         assert got == sorted((tuple(row[i] for i in at) for row in r.fetchall()), key=str)
+
+
+def test_slugs_of_whole_texts(spark):
+    got = catalog.QUERIES["fold_slug_whole"](spark, SF)
+    assert got.where("chars > 200").count() > 0
