@@ -288,8 +288,9 @@ def redact_basic(spark, sf):
 
 @query()
 def redact_parties(spark, sf):
-    rows = [(1, "Prodaja nekretnina izvršenika Marka Markovića, Sarajevo"), (2, "dužnik Komunalac a.d. Banja Luka"), (3, "tuženi Pero Perić protiv banke")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", redact.redact_text(F.col("text")).alias("text"))
+    texts = _t(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text")
+    texts = texts.unionByName(_t(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return texts.select("source", "id", F.sha2(redact.redact_text(F.col("text")), 256).alias("sha"))
 
 
 _PART_TAGS = {"warm": ("^almond$", "^rose"), "cold": ("^blue", "^azure", "^navy"), "green": ("green$", "olive"), "metal": ("steel", "^metallic", "^brass"), "big": ("^large", "^big")}

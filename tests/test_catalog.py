@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from noticeworks.functions import redact
 from noticeworks.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -34,3 +36,11 @@ def test_query(spark, duck, name):
 def test_slugs_of_whole_texts(spark):
     got = catalog.QUERIES["fold_slug_whole"](spark, SF)
     assert got.where("chars > 200").count() > 0
+
+
+def test_parties_are_redacted_in_whole_tables(spark, duck):
+    rows = [(1, "Prodaja nekretnina izvršenika Marka Markovića, Sarajevo"), (2, "dužnik Komunalac a.d. Banja Luka"), (3, "tuženi Pero Perić protiv banke")]
+    got = {r.id: r.t for r in spark.createDataFrame(rows, "id int, text string").select("id", redact.redact_text(F.col("text")).alias("t")).collect()}
+    assert got == {1: "Prodaja nekretnina izvršenika [uklonjeno], Sarajevo", 2: rows[1][1], 3: "tuženi [uklonjeno] protiv banke"}
+    df = catalog.QUERIES["redact_parties"](spark, SF)
+    assert {r.source: r["count"] for r in df.groupBy("source").count().collect()} == dict(duck.sql("SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'pages', count(*) FROM pages").fetchall())
