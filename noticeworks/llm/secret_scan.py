@@ -9,6 +9,7 @@ cut at the highest threshold that keeps the wanted recall on findings held out.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -170,6 +171,11 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def threshold_for(scores: np.ndarray, recall: float = RECALL) -> float:
+    """The highest threshold that keeps the share of the secrets' scores."""
+    return float(np.sort(scores)[len(scores) - math.ceil(recall * len(scores) - 1e-9)])
+
+
 @lru_cache(1)
 def trained() -> Network:
     """The network: fitted, calibrated and cut; the same on every machine up to rounding."""
@@ -194,8 +200,9 @@ def trained() -> Network:
     sign = np.where(y[held] > 0, -1, 1)
     grid = np.geomspace(0.25, 8, 41)
     net.temperature = float(grid[np.argmin([np.logaddexp(0, sign * logit / t).mean() for t in grid])])
-    found = np.sort(net.scores(x[held])[y[held] > 0])
-    net.threshold = max(0.5, float(found[int((1 - RECALL) * len(found))]))
+    found = net.scores(x[held])[y[held] > 0]
+    net.threshold = threshold_for(found)
+    assert (found >= net.threshold).mean() >= RECALL
     return net
 
 
