@@ -93,6 +93,21 @@ def test_contamination(spark, odd, none):
     assert decontaminate.contamination(none, b).collect() == [] and decontaminate.contamination(odd, b.limit(0)).collect() == []
 
 
+def test_contamination_by_long_and_short_items(spark, odd):
+    """An item of 40,000 words, items of fewer than five, odd rows against real items, and rows equal in id."""
+    r = random.Random(1)
+    big = [f"w{r.randrange(10**9)}" for _ in range(40_000)]
+    items = [(1, " ".join(big)), (2, "alpha beta gamma"), (3, None), (4, "Alpha"), (5, "one two three four five"), (6, ""), (4, "Alpha")]
+    docs = [(1, " ".join(["x"] * 50 + big + ["y"] * 20)), (2, "the alpha beta, GAMMA alpha"), (3, " ".join(big[:36_000])), (4, "one two three four five"), (5, None), (None, "of alpha"), (4, "none of it")]
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("len", F.lit("clash")).withColumn("no", F.lit("clash"))
+    rows = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    got = {(x.doc_id, x.item_id): (round(x.similarity, 4), x.start_word, x.end_word) for x in rows}
+    assert got == {(1, 1): (1.0, 50, 40_050), (3, 1): (0.9, 0, 36_000), (2, 2): (1.0, 1, 4), (2, 4): (1.0, 1, 2), (4, 5): (1.0, 0, 5), (None, 4): (1.0, 1, 2)} and len(rows) == 6
+    base = odd.where("doc_id = 1").first().text.split()
+    b = spark.createDataFrame([(1, " ".join(base[10:50])), (1, " ".join(base[10:50])), (2, None)], "item_id long, text string")
+    assert {(x.doc_id, x.start_word, x.end_word) for x in decontaminate.contamination(odd, b).collect()} == {(1, 10, 50), (2, 10, 50), (3, 10, 50)}
+
+
 def test_repeated_passages(spark, odd, none):
     r = random.Random(6)
     make = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
@@ -233,6 +248,13 @@ def test_pipeline(spark):
 
 def test_pipeline_stages_on_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    twice = docs.unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("another text of an id whose first text goes")))
+    assert {r.text for r in corpus_pipeline.dedup_stage(spark, twice, SF).where("doc_id = 3").collect()} == {"another text of an id whose first text goes"}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+        assert stage(spark, odd, SF).count() <= odd.count(), name
+    leaks = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    assert leaks.columns == docs.columns and leaks.count() == docs.count()
     out = corpus_pipeline.dedup_stage(spark, docs, SF)
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i in (1, 4, 5, 6, 7, 8, 10, 11, 12, None, None)) and out.columns == docs.columns
     clean = {r.doc_id: r for r in corpus_pipeline.secrets_stage(spark, docs, SF).collect()}
