@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,18 +18,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .common import written
+
 #: Headers of a stored response that a 304 replaces.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
-SCHEMA = "record_id string, type string, url string, date string, status int, headers map<string,string>, digest string, length long, body binary"
+NOT_MODIFIED, IDENTICAL = "server-not-modified", "identical-payload-digest"
+
+SCHEMA = "record_id string, type string, profile string, url string, date string, status int, headers map<string,string>, digest string, length long, body binary"
 
 
-def record(kind: str, record_id: str, url: str | None, date: str, status: str, headers: list[tuple[str, str]], body: bytes, digest: str | None = None) -> bytes:
+def record(kind: str, record_id: str, url: str | None, date: str, status: str, headers: list[tuple[str, str]], body: bytes, digest: str | None = None, profile: str = NOT_MODIFIED) -> bytes:
     """One record as a gzip member."""
     block = (f"HTTP/1.1 {status}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n").encode() + body
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", digest)]
     if kind == "revisit":
-        head.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/server-not-modified"))
+        head.append(("WARC-Profile", f"http://netpreserve.org/warc/1.1/revisit/{profile}"))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None) + "\r\n"
     return gzip.compress(text.encode() + block + b"\r\n\r\n", 1, mtime=0)
@@ -48,42 +53,141 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
-    """Records of a WARC file, plain or of gzip members, read one at a time; a broken tail ends the file."""
-    first = stream.read(2)
-    stream.seek(0)
-    reader = gzip.GzipFile(fileobj=stream) if first == b"\x1f\x8b" else stream
-    try:
+class _Damage(Exception):
+    """The bytes that follow can't be read; what is behind the next mark may be."""
+
+
+class _Source:
+    """Bytes of a WARC file, plain or of gzip members, a part at a time; knows how to go on behind damage."""
+
+    STEP = 1 << 16
+
+    def __init__(self, stream: io.BufferedIOBase):
+        self.stream, self.raw, self.out, self.at = stream, stream.read(self.STEP), b"", 0
+        self.gzip = self.raw[:2] == b"\x1f\x8b"
+        self.member = None  # the decompressor of the open one
+        self.broken = False
+
+    def _more(self) -> bool:
+        """More bytes in ``out``; False at the end of the file."""
+        while True:
+            if not self.raw:
+                self.raw = self.stream.read(self.STEP)
+                if not self.raw:
+                    if self.member is not None:
+                        self.member = None
+                        raise _Damage
+                    return False
+            if not self.gzip:
+                new, self.raw = self.raw, b""
+            else:
+                if self.member is None:
+                    self.raw = self.raw.lstrip(b"\0")
+                    if not self.raw:
+                        continue
+                    self.member = zlib.decompressobj(31)
+                part, self.raw = self.raw[: self.STEP], self.raw[self.STEP :]
+                try:
+                    new = self.member.decompress(part)
+                except zlib.error:
+                    self.raw, self.broken = part + self.raw, True
+                    raise _Damage from None
+                if self.member.eof:
+                    self.raw, self.member = self.member.unused_data + self.raw, None
+            if new:
+                self.out, self.at = self.out[self.at :] + new, 0
+                return True
+
+    def readline(self) -> bytes:
+        begin = 0
+        while (end := self.out.find(b"\n", self.at + begin)) < 0:
+            begin = len(self.out) - self.at
+            if not self._more():
+                end = len(self.out) - 1
+                break
+        line, self.at = self.out[self.at : end + 1], end + 1
+        return line
+
+    def read(self, n: int) -> bytes:
+        parts, got = [], 0
         while True:
-            line = reader.readline()
+            part = self.out[self.at : self.at + n - got]
+            parts.append(part)
+            got += len(part)
+            self.at += len(part)
+            if got == n or not self._more():
+                return b"".join(parts)
+
+    def resume(self, rest: bytes) -> int:
+        """Goes to the next record in ``rest`` and what is read already, else to the next gzip member or record of the file; the bytes passed over."""
+        if not self.broken:
+            text = rest + self.out[self.at :]
+            if found := re.search(rb"(?:(?<=\n)|^)WARC/1\.", text):
+                self.out, self.at = text[found.start() :], 0
+                return found.start()
+            passed = len(text)
+        else:  # its first byte isn't taken for the mark again
+            passed, self.raw, self.member, self.broken = 1, self.raw[1:], None, False
+        self.out, self.at = b"", 0
+        mark = re.compile(rb"\x1f\x8b\x08" if self.gzip else rb"(?<=\n)WARC/1\.")
+        if self.gzip and self.member is None and self.raw[:1] == b"\x1f" and passed != 1:
+            return passed  # at the start of a member
+        self.member = None
+        while True:
+            if found := mark.search(self.raw):
+                self.raw = self.raw[found.start() :]
+                return passed + found.start()
+            keep = self.raw[-8:]
+            new = self.stream.read(self.STEP)
+            if not new:
+                passed, self.raw = passed + len(self.raw), b""
+                return passed
+            passed, self.raw = passed + len(self.raw) - len(keep), keep + new
+
+
+def parse(stream: io.BufferedIOBase) -> Iterator[dict]:
+    """Records of a WARC file, plain or of gzip members, read one at a time.
+
+    Where bytes are damaged (a broken member, a length that is no number or reaches beyond the file) a record
+    of type ``damaged`` takes their place, its length the bytes passed over, and reading goes on at the next
+    member or record.
+    """
+    source = _Source(stream)
+    while True:
+        try:
+            rest = b""
+            line = source.readline()
             if not line:
                 return
             if not line.startswith(b"WARC/"):
                 continue
             lines = []
-            while (line := reader.readline()).strip():
+            while (line := source.readline()).strip():
                 lines.append(line.rstrip(b"\r\n"))
             head = _headers(lines)
-            size = int(head.get("content-length", "0"))
-            block = reader.read(size)
-            if len(block) < size:
-                return
-            status, headers, body = None, {}, block
-            if "application/http" in head.get("content-type", ""):
-                top, _, body = block.partition(b"\r\n\r\n")
-                rows = top.split(b"\r\n")
-                word = rows[0].split(b" ")
-                status = int(word[1]) if len(word) > 1 and word[1].isdigit() else None
-                headers = _headers(rows[1:])
-            yield {
-                "record_id": head.get("warc-record-id", "").strip("<>") or None, "type": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"),
-                "status": status, "headers": headers, "digest": head.get("warc-payload-digest"), "length": len(body), "body": body,
-            }
-    except (EOFError, zlib.error, gzip.BadGzipFile, ValueError):
-        return
-
-
-_ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("length", pa.int64()), ("body", pa.binary())])
+            length = head.get("content-length", "0").strip()
+            if not re.fullmatch("[0-9]{1,18}", length):
+                raise _Damage
+            rest = block = source.read(int(length))
+            if len(block) < int(length):
+                raise _Damage
+        except _Damage:
+            yield {"record_id": None, "type": "damaged", "profile": None, "url": None, "date": None, "status": None, "headers": {}, "digest": None, "length": source.resume(rest), "body": b""}
+            continue
+        status, headers, body = None, {}, block
+        if "application/http" in head.get("content-type", ""):
+            top, _, body = block.partition(b"\r\n\r\n")
+            rows = top.split(b"\r\n")
+            word = rows[0].split(b" ")
+            status = int(word[1]) if len(word) > 1 and re.fullmatch(b"[0-9]{1,9}", word[1]) else None
+            headers = _headers(rows[1:])
+        yield {
+            "record_id": head.get("warc-record-id", "").strip("<>") or None, "type": head.get("warc-type"), "profile": head.get("warc-profile"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"),
+            "status": status, "headers": headers, "digest": head.get("warc-payload-digest"), "length": len(body), "body": body,
+        }
+
+
+_ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("profile", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("length", pa.int64()), ("body", pa.binary())])
 
 
 def _batches(records: Iterator[dict], body: bool) -> Iterator[pa.RecordBatch]:
@@ -134,42 +238,46 @@ def canonical(url: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Each revisit with the response it stands for: ``(record_id, url, date, response_id, reason, status, headers, digest, length)``.
 
-    ``reason`` tells by which validator it is resolved (``etag``, ``last-modified``, ``digest``), or why it
-    isn't: ``no url``, ``no earlier response``, ``mismatch`` or ``no validator``; then only the revisit's
-    own headers are given. The latest response counts that is strictly earlier and full (status 200), of
-    equal dates the one with the greatest id. Entity tags compare without their weakness mark. Repeated
-    records give repeated rows; records without a date take part in nothing. A URL that holds a large
-    share of all records is split by days: only one response a day goes on to later days.
+    ``reason`` tells by which validator a not-modified revisit is resolved (``etag``, ``last-modified``,
+    ``digest``), or why it isn't: ``no url``, ``no date`` (none or a malformed one), ``no earlier response``,
+    ``mismatch`` or ``no validator``; then only the revisit's own headers are given. A revisit of an identical
+    payload (by its profile, or without one by a status other than 304) has a whole response's headers of its
+    own: ``identical`` takes only digest and length from the response, if the digests agree. The latest
+    response counts that is strictly earlier and full (status 200), of equal dates the one with the greatest
+    id. Entity tags compare without their weakness mark. Repeated records give repeated rows; records of other
+    types, and responses without a date or URL, take part in nothing; other columns are not read.
+
+    Records are read once, without their bodies. What a URL's revisits look up is one row for each of its
+    dates, filled within days and then over days, so a URL that holds a large share of all records is split.
     """
-    at = F.to_timestamp("date")
-    r = records.select("record_id", "type", "url", "date", "status", "headers", "digest", "length", at.alias("at"), canonical(F.col("url")).alias("canon"))
-    full = (F.col("type") == "response") & (F.col("status") == 200)
-    response = F.when(full, F.struct("record_id", "status", "headers", "digest", "length"))
-    r = r.where((full | (F.col("type") == "revisit")) & F.col("at").isNotNull()).withColumn("day", F.to_date("at")).withColumn("response", response).withColumn("full", full.cast("int"))
-    by_url = r.where(F.col("canon").isNotNull())
-    in_day = W.partitionBy("canon", "day").orderBy("at", "full", "record_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = by_url.withColumn("same_day", F.last("response", ignorenulls=True).over(in_day)).where("full = 0").drop("response")
-    days = by_url.groupBy("canon", "day").agg(F.max_by("response", F.when(full, F.struct("at", "record_id"))).alias("l"))
-    before = W.partitionBy("canon").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    days = days.withColumn("earlier", F.last("l", ignorenulls=True).over(before)).select("canon", "day", "earlier").where("earlier is not null")
-    joined = rows.join(days, ["canon", "day"], "left").withColumn("of", F.coalesce("same_day", "earlier")).drop("same_day", "earlier")
-    lost = r.where((F.col("full") == 0) & F.col("canon").isNull()).drop("response")
-    joined = joined.unionByName(lost.withColumn("of", F.lit(None).cast(joined.schema["of"].dataType)))
+    full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
+    r = records.select("record_id", "profile", "url", "date", "status", "headers", "digest", "length", F.try_to_timestamp("date").alias("at"), canonical(F.col("url")).alias("canon"), full.alias("full"), (F.col("type") == "revisit").alias("again"))
+    r = written(r.where("full or again").drop("again"), "records")
+    own = F.max_by(F.when(F.col("full"), F.struct("record_id", "status", "headers", "digest", "length")), F.when(F.col("full"), F.struct(F.coalesce("record_id", F.lit("")), "digest", "length")))
+    dates = r.where("canon is not null and at is not null").groupBy("canon", "at").agg(own.alias("own")).withColumn("day", F.to_date("at"))
+    in_day = W.partitionBy("canon", "day").orderBy("at")
+    dates = written(dates.withColumn("of", F.last("own", ignorenulls=True).over(in_day.rowsBetween(W.unboundedPreceding, -1))), "dates")
+    days = dates.groupBy("canon", "day").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("at"))).alias("l"))
+    days = days.select("canon", "day", F.last("l", ignorenulls=True).over(W.partitionBy("canon").orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("earlier")).where("earlier is not null")
+    dates = dates.join(days, ["canon", "day"], "left").select("canon", "at", F.coalesce("of", "earlier").alias("of")).where("of is not null")
+    joined = r.where("not full").drop("full").join(dates, ["canon", "at"], "left")
 
     tag = lambda m: F.regexp_replace(F.element_at(m, "etag"), r"^W/", "")
     mine, theirs = F.col("headers"), F.col("of.headers")
     pairs = [("etag", tag(mine), tag(theirs)), ("last-modified", F.element_at(mine, "last-modified"), F.element_at(theirs, "last-modified")), ("digest", F.col("digest"), F.col("of.digest"))]
-    reason = F.when(F.col("canon").isNull(), "no url").when(F.col("of").isNull(), "no earlier response")
+    identical = F.coalesce(F.col("profile").contains(IDENTICAL), F.coalesce(F.col("status") != 304, F.lit(False)))
+    reason = F.when(F.col("canon").isNull(), "no url").when(F.col("at").isNull(), "no date").when(F.col("of").isNull(), "no earlier response")
+    reason = reason.when(identical, F.when(F.col("digest").isNull() | F.col("of.digest").isNull(), "no validator").when(F.col("digest") == F.col("of.digest"), "identical").otherwise("mismatch"))
     for name, a, b in pairs:
         reason = reason.when(a.isNotNull() & b.isNotNull(), F.when(a == b, name).otherwise("mismatch"))
     joined = joined.withColumn("reason", reason.otherwise("no validator"))
-    good = F.col("reason").isin("etag", "last-modified", "digest")
+    good, same = F.col("reason").isin("etag", "last-modified", "digest"), F.col("reason") == "identical"
     kept = F.map_filter(theirs, lambda k, _: ~(k.isin(*PERMITTED) & F.map_contains_key(mine, k)))
     new = F.map_filter(mine, lambda k, _: k.isin(*PERMITTED))
-    pick = lambda name, other: F.when(good, F.col(f"of.{name}")).otherwise(other).alias(name)
+    pick = lambda name, other, when: F.when(when, F.col(f"of.{name}")).otherwise(other).alias(name)
     return joined.select(
-        "record_id", "url", "date", F.when(good, F.col("of.record_id")).alias("response_id"), "reason", pick("status", F.col("status")), F.when(good, F.map_concat(kept, new)).otherwise(mine).alias("headers"),
-        pick("digest", F.lit(None).cast(T.StringType())), pick("length", F.lit(None).cast(T.LongType())),
+        "record_id", "url", "date", F.when(good | same, F.col("of.record_id")).alias("response_id"), "reason", pick("status", F.col("status"), good), F.when(good, F.map_concat(kept, new)).otherwise(mine).alias("headers"),
+        pick("digest", F.lit(None).cast(T.StringType()), good | same), pick("length", F.lit(None).cast(T.LongType()), good | same),
     )
 
 

@@ -216,13 +216,50 @@ def test_warc_round_trip(tmp_path, spark):
     path.write_bytes(a + b + c + d + e + b"\x1f\x8bbroken")
     assert next(warc.parse(io.BytesIO(a)))["body"] == b"body\r\n\r\nmore"
     rows = warc.read_warc(spark, [str(path)])
-    assert rows.count() == 5
+    assert rows.where("type <> 'damaged'").count() == 5 and rows.where("type = 'damaged'").count() == 1
     got = {x.record_id: x for x in warc.resolve_revisits(rows).collect()}
     assert {k: v.reason for k, v in got.items()} == {"v1": "etag", "v2": "no earlier response", "v3": "no url", "v4": "mismatch"}
     assert got["v1"].response_id == "r1" and got["v1"].headers == {"etag": 'W/"e"', "content-type": "text/html", "vary": "y"} and got["v1"].length == 12 and got["v1"].status == 200
     assert warc.resolve_revisits(rows.limit(0)).collect() == []
 
 
+def test_warc_damage():
+    """Damage costs its own record and is told; reading goes on at the next one."""
+    one = [warc.record("response", f"r{i}", "http://a/", "2024-01-01T00:00:00Z", "200 OK", [], b"x" * 5000 + b"%d" % i) for i in range(6)]
+    broken = bytearray(one[2])
+    broken[40:44] = b"\xff\xff\xff\xff"
+    for damaged in (bytes(broken), one[2][: len(one[2]) // 2], b"\x1f\x8b\x08\xff", b"garbage"):
+        got = [(x["type"], x["record_id"]) for x in warc.parse(io.BytesIO(b"".join([*one[:2], damaged, *one[3:]])))]
+        assert [r for _, r in got if r] == ["r0", "r1", "r3", "r4", "r5"] and ("damaged", None) in got
+    import gzip
+
+    plain = [gzip.decompress(x) for x in one]
+    assert [x["record_id"] for x in warc.parse(io.BytesIO(b"".join(plain)))] == [f"r{i}" for i in range(6)]
+    for damaged in (plain[2].replace(b"Content-Length: ", b"Content-Length: x"), plain[2].replace(b"Content-Length: ", b"Content-Length: 99999")):
+        for whole in (b"".join([*plain[:2], damaged, *plain[3:]]), gzip.compress(b"".join([*plain[:2], damaged, *plain[3:]])), b"".join([*one[:2], gzip.compress(damaged), *one[3:]])):
+            got = [x["record_id"] for x in warc.parse(io.BytesIO(whole))]
+            assert [r for r in got if r] == ["r0", "r1", "r3", "r4", "r5"] and None in got
+
+
+def test_warc_of_odd_records(spark):
+    """Ties, repeats, no date, malformed dates, no URL, identical payloads, nulls anywhere and clashing names."""
+    u, e = "http://a/x", {"etag": '"e"'}
+    rows = [
+        ("r1", "response", None, u, "2024-01-01T00:00:00Z", 200, e, "d1", 1), ("r2", "response", None, u, "2024-01-01T00:00:00Z", 200, e, "d2", 2), ("r9", "response", None, u, "2024-01-05T00:00:00Z", 404, e, "d", 3),
+        ("v1", "revisit", None, u, "2024-01-01T00:00:00Z", 304, e, None, 0), ("v2", "revisit", None, u, "2024-01-01T00:00:01Z", 304, e, None, 0), ("v2", "revisit", None, u, "2024-01-01T00:00:01Z", 304, e, None, 0), ("v3", "revisit", None, u, "2024-02-01T00:00:00Z", 304, {}, "d2", 0),
+        ("v4", "revisit", None, u, "45.13.2024", 304, e, None, 0), ("v5", "revisit", None, u, None, 304, e, None, 0), ("v6", "revisit", None, None, "2024-02-01T00:00:00Z", 304, e, None, 0), ("v7", "revisit", warc.IDENTICAL, u, "2024-02-01T00:00:00Z", 200, {"etag": '"z"'}, "d2", 0),
+        ("v8", "revisit", warc.IDENTICAL, u, "2024-02-01T00:00:00Z", 200, e, "other", 0), (None, "revisit", None, u, "2024-02-01T00:00:00Z", None, None, None, None), (None, None, None, None, None, None, None, None, None), ("x", "response", None, u, None, 200, e, "d", 1),
+    ]
+    df = spark.createDataFrame(rows, "record_id string, type string, profile string, url string, date string, status int, headers map<string,string>, digest string, length long")
+    for c in ("at", "day", "of", "canon", "full", "own", "reason"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = sorted(((r.record_id or "", r.reason, r.response_id, r.length, r.status) for r in warc.resolve_revisits(df).collect()), key=str)
+    assert got == [
+        ("", "no validator", None, None, None), ("v1", "no earlier response", None, None, 304), ("v2", "etag", "r2", 2, 200), ("v2", "etag", "r2", 2, 200), ("v3", "digest", "r2", 2, 200), ("v4", "no date", None, None, 304), ("v5", "no date", None, None, 304),
+        ("v6", "no url", None, None, 304), ("v7", "identical", "r2", 2, 200), ("v8", "mismatch", None, None, 200),
+    ]
+
+
 def test_warc_against_sql(spark):
     df = warc.op9_warc_revisit(spark, SF)
     c = duckdb.connect()
