@@ -137,6 +137,27 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20,
             i = j
 
 
+class Kept(dict):
+    """A cache from strings, of bounded bytes: what would lead beyond them makes it begin anew; long strings aren't kept."""
+
+    LONGEST, EACH = 4096, 120
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, found: dict) -> None:
+        fit = {k: v for k, v in found.items() if len(k) <= self.LONGEST}
+        size = sum(map(len, fit)) * 2 + self.EACH * len(fit)
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+            if size > self.most:
+                return
+        self.update(fit)
+        self.held += size
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import by_bytes, documents, text_or_empty
+from .common import Kept, by_bytes, documents, text_or_empty
 
-#: Entries of a worker's caches; beyond it they begin anew.
-WORDS_KEPT, SEGMENTS_KEPT = 1_000_000, 600_000
+#: Bytes of a worker's caches, about; beyond it they begin anew.
+WORDS_KEPT, SEGMENTS_KEPT = 128 << 20, 80 << 20
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -36,8 +36,7 @@ class SentencePieceCounter:
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cut = pieces.cutter(path)
-        self.words: dict[str, int] = {}
-        self.segments: dict[str, int] = {}
+        self.words, self.segments = Kept(WORDS_KEPT), Kept(SEGMENTS_KEPT)
         # Many segments are encoded at once with a mark between them that no piece joins with anything.
         self.mark = "\n"
         if any(self.mark in p for p in pieces.model(path).normal):
@@ -51,33 +50,30 @@ class SentencePieceCounter:
         ids = np.array(self.lib.encode(self.mark + self.mark.join(segments) + self.mark))
         return (np.diff(np.flatnonzero(ids == self.mark_ids[0])) - 1).tolist()
 
-    def learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.segments) > SEGMENTS_KEPT:
-            self.segments.clear()
+    def learn(self, new: list[str]) -> dict[str, int]:
+        """Counts of words that aren't kept; what fits is kept."""
         cuts = [self.cut(w) for w in new]
-        known = self.segments
-        fresh = list({s for c in cuts for s in c if s not in known})
+        kept = self.segments
+        known = {s: kept[s] for c in cuts for s in c if s in kept}
         known[self.mark] = len(self.mark_ids)
-        fresh = [s for s in fresh if s != self.mark]
+        fresh = list({s for c in cuts for s in c if s not in known})
         for i in range(0, len(fresh), 1000):
             part = fresh[i : i + 1000]
             known.update(zip(part, self.encoded(part)))
-        self.words.update((w, sum(known[s] for s in c)) for w, c in zip(new, cuts))
+        found = {w: sum(map(known.__getitem__, c)) for w, c in zip(new, cuts)}
+        kept.keep({s: known[s] for s in fresh})
+        return found
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [words_with_spaces(t) for t in texts]
         words = self.words
         new = {w for ws in split for w in ws if w not in words}
-        if new:
-            self.learn(list(new))
-            if len(words) < len(new):
-                raise AssertionError("the cache lost words of this batch")
-            lost = {w for ws in split for w in ws if w not in words}
-            if lost:  # the cache began anew; the words known before are needed again
-                self.learn(list(lost))
-        return [sum(map(words.__getitem__, ws)) for ws in split]
+        if not new:
+            return [sum(map(words.__getitem__, ws)) for ws in split]
+        found = self.learn(list(new))
+        out = [sum(found[w] if w in found else words[w] for w in ws) for ws in split]
+        words.keep(found)
+        return out
 
 
 def words_with_spaces(text: str) -> list[str]:

@@ -11,6 +11,7 @@ positions; the tropical shortest path through that is the encoding.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import by_bytes, documents, text_or_empty
+from .common import Kept, by_bytes, documents, text_or_empty
 from .token_counts import SEGMENTS_KEPT, WORDS_KEPT, tokenizer_path, words_with_spaces
 
 _END = ""
@@ -50,18 +51,31 @@ class Transducer:
         return [m.byte[b] for b in ch.encode()] if len(m.byte) == 256 else [m.unknown]
 
     def merged(self, symbols: list[str]) -> list[str]:
-        """Merging by rank, leftmost of equals first: the definition that the acceptor is compiled from."""
+        """Merging by rank, leftmost of equals first: the definition that the acceptor is compiled from.
+
+        A heap holds the pairs that may merge and a list of neighbours what is left, so any length takes
+        about as many steps as it has symbols.
+        """
         symbols, rank = list(symbols), self.rank
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                r = rank.get(symbols[i] + symbols[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i] if symbols[i] else n
+            if j >= n or symbols[i] != left or symbols[j] != right:
+                continue  # one of them is gone
+            symbols[i], symbols[j] = left + right, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get(symbols[i] + symbols[k])) is not None:
+                    heapq.heappush(heap, (r, i, symbols[i], symbols[k]))
+            h = before[i]
+            if h >= 0 and (r := rank.get(symbols[h] + symbols[i])) is not None:
+                heapq.heappush(heap, (r, h, symbols[h], symbols[i]))
+        return [s for s in symbols if s]
 
     def spine(self, piece: int, right: bool) -> list[tuple[str, float, float]]:
         """The symbols at an edge of a piece while it is merged: each with the ranks that make and consume it."""
@@ -334,29 +348,33 @@ class Coder:
         self.fst = transducer(path)
         self.cut = pieces.cutter(path) if self.fst.model.is_bpe else None
         self.many = lattices(path) if self.fst.model.is_bpe else None
-        self.words: dict[str, bytes] = {}
-        self.segments: dict[str, bytes] = {}
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.segments) > SEGMENTS_KEPT:
-            self.segments.clear()
-        known = self.segments
+        self.words, self.segments = Kept(WORDS_KEPT), Kept(SEGMENTS_KEPT)
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept; what fits is kept."""
+        kept, found = self.segments, {}
         for i in range(0, len(new), 20_000):
             cuts = [self.cut(w) for w in new[i : i + 20_000]]
+            known = {s: kept[s] for c in cuts for s in c if s in kept}
             fresh = list({s for c in cuts for s in c if s not in known})
-            known.update(zip(fresh, self.many.encode(fresh)))
-            self.words.update((w, known[c[0]] if len(c) == 1 else b"".join([known[s] for s in c])) for w, c in zip(new[i:], cuts))
+            made = dict(zip(fresh, self.many.encode(fresh)))
+            known |= made
+            found.update((w, known[c[0]] if len(c) == 1 else b"".join([known[s] for s in c])) for w, c in zip(new[i:], cuts))
+            kept.keep(made)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
             return [np.array(self.fst.encode(pieces.SPACE + t.replace(" ", pieces.SPACE)) if t else [], "<i4").tobytes() for t in texts]
         split = [words_with_spaces(t) for t in texts]
         words = self.words
-        while new := {w for ws in split for w in ws if w not in words}:
-            self.learn(list(new))  # again where the cache began anew
-        return [b"".join([words[w] for w in ws]) for ws in split]
+        new = {w for ws in split for w in ws if w not in words}
+        if not new:
+            return [b"".join([words[w] for w in ws]) for ws in split]
+        found = self.learn(list(new))
+        out = [b"".join([found[w] if w in found else words[w] for w in ws]) for ws in split]
+        words.keep(found)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return self.fst.decode(ids.tolist())

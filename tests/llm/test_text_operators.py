@@ -34,6 +34,22 @@ def test_counts_and_ids_are_the_librarys(lib, small):
     assert [coder.decode(g) for g in got] == lib.decode(want)
 
 
+def test_long_runs_and_many_words(lib):
+    """A million different words after one that is kept, a million spaces, one word of 300,000 letters, and caches too small for a batch."""
+    path = token_counts.tokenizer_path()
+    count, coder = token_counts.counter(path), transducer.Coder(path)
+    small = token_counts.counter(path)
+    small.words.most = small.segments.most = 2000
+    tight = transducer.Coder(path)
+    tight.words.most = tight.segments.most = 2000
+    for texts in (["common w0 w1"], ["common " + " ".join(f"w{i}" for i in range(1_000_001))], [" " * n + "x" for n in (2, 17, 1_000_000)], ["a" * 300_000, "é" * 50_000], ["common w0 w1"]):
+        want = lib.encode(texts)
+        for c, d in ((count, coder), (small, tight)):
+            assert c.counts(texts) == [len(x) for x in want]
+            assert [np.frombuffer(b, "<i4").tolist() for b in d.encode(texts)] == want
+        assert count.words.held <= count.words.most and small.words.held <= 2000
+
+
 def test_acceptor_is_merging():
     fst = transducer.transducer(token_counts.tokenizer_path())
     r = random.Random(2)
