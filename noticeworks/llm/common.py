@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a step of a numpy kernel takes at once; bounds the memory of a worker.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch between Spark and Python; one longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -158,6 +161,15 @@ class Kept(dict):
         self.held += size
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, whatever the rows' lengths."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = re.fullmatch(r"(\d+)b?", str(conf.get(name)))
+    if not bound or int(bound[1]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

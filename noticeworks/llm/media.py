@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import webp
-from .common import by_bytes, documents, text_or_empty
+from .common import by_bytes, documents, in_arrow, text_or_empty
 
 #: Bytes of an image: 16384 x 16384 pixels of 4 samples; more bytes take several images.
 IMAGE_BYTES = 4 * webp.MAX_SIDE**2
@@ -85,7 +85,7 @@ def media_columns(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()])]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
-    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).transform(in_arrow, run, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
     return out.withColumnRenamed("id", id_col)
 
 

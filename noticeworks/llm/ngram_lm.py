@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano as ef
-from .common import LOWER, NON_SPACE, by_bytes, documents, fresh_path, text_or_empty, words_of
+from .common import LOWER, NON_SPACE, by_bytes, documents, fresh_path, in_arrow, text_or_empty, words_of
 
 #: The end of a text, a word of its own.
 END = np.uint64(0xE0D0F7E8D5A1C3B7)
@@ -331,10 +331,10 @@ def _counted(texts: DataFrame, keys, shards: int, build) -> list:
 
     spark = texts.sparkSession
     each = spark.range(shards).select(F.col("id").cast("int").alias("s"), F.lit(b"").alias("k"), F.lit(b"").alias("n"))  # every shard gets a file
-    rows = texts.mapInArrow(count, "s int, k binary, n binary").unionByName(each)
+    rows = texts.transform(in_arrow, count, "s int, k binary, n binary").unionByName(each)
     width = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # numbers of a shard, one row each
-    return rows.repartition(width, "s").sortWithinPartitions("s").mapInArrow(reduce, "s int, a long, b long").collect()
+    return rows.repartition(width, "s").sortWithinPartitions("s").transform(in_arrow, reduce, "s int, a long, b long").collect()
 
 
 def _starts(rows: list, shards: int) -> np.ndarray:
@@ -439,7 +439,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known), pa.array(base), pa.array(own)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).transform(in_arrow, run, f"id {kind}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

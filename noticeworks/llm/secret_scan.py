@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, text_or_empty
+from .common import by_bytes, documents, in_arrow, text_or_empty
 
 KINDS = ("assign", "access", "hex", "network")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -255,7 +255,7 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([hashlib.sha256(_joined(s).encode()).hexdigest() for s in base]), pa.array([_joined(s + m) for s, m in zip(base, more)])], ["id", "n_assign", "n_access", "n_hex", "n_network", "base_sha256", "spans"])
 
     schema = f"id {kind}, n_assign long, n_access long, n_hex long, n_network long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).transform(in_arrow, run, schema).withColumnRenamed("id", id_col)
 
 
 MARK = "[SECRET]"
@@ -283,7 +283,7 @@ def without_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(t)
             yield b.set_column(at, text, pa.array(out, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import Kept, by_bytes, documents, text_or_empty
+from .common import Kept, by_bytes, documents, in_arrow, text_or_empty
 
 #: Bytes of a worker's caches, about; beyond it they begin anew.
 WORDS_KEPT, SEGMENTS_KEPT = 128 << 20, 80 << 20
@@ -128,7 +128,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", i
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(t), pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).transform(in_arrow, run, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import Kept, by_bytes, documents, text_or_empty
+from .common import Kept, by_bytes, documents, in_arrow, text_or_empty
 from .token_counts import SEGMENTS_KEPT, WORDS_KEPT, tokenizer_path, words_with_spaces
 
 _END = ""
@@ -405,7 +405,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, f"id {kind}, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    out = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).transform(in_arrow, run, f"id {kind}, ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 

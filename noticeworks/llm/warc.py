@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import in_arrow, written
 
 #: Headers of a stored response that a 304 replaces.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -219,7 +219,7 @@ def read_warc(spark: SparkSession, paths: list[str], body: bool = True) -> DataF
                     yield from _batches(parse(f), body)
 
     df = spark.createDataFrame([(p,) for p in paths], "path string")
-    return df.repartition(max(1, len(paths)), "path").mapInArrow(run, SCHEMA)
+    return df.repartition(max(1, len(paths)), "path").transform(in_arrow, run, SCHEMA)
 
 
 def canonical(url: Column) -> Column:
@@ -297,7 +297,7 @@ def _crawl(pages: DataFrame) -> DataFrame:
                 later = record("revisit", f"v{n}", None if url is None else url + "#again", d1, "304 Not Modified", [("Date", d1), ("Content-Length", "0"), ("Cache-Control", "max-age=60"), *other, *since], b"")
                 yield from parse(io.BytesIO(first + later))
 
-    return rows.mapInArrow(lambda batches: _batches(made(batches), False), SCHEMA)
+    return rows.transform(in_arrow, lambda batches: _batches(made(batches), False), SCHEMA)
 
 
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
