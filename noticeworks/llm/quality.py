@@ -1,13 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Each word owns a sparse random index vector, drawn from its hash. The vector of a word is the sum of the
-index vectors of its neighbours over the training sample, so words used alike look alike; the random
-directions stay in place whatever the corpus. Words too rare for that are told by their shape (case,
-digits, symbols at both ends), which has an index vector too. A document is the mean of both over all
-its words, read by a two-layer network whose probabilities are calibrated with one temperature.
-
-Only fitting is bounded (``Params.sample`` labelled rows, ``Params.words`` word vectors); scoring reads
-every whole text.
+index vectors of its neighbours over the training sample, so words used alike look alike, and a share of its
+own; the random directions stay in place whatever the corpus. Words beyond the most frequent of the sample
+have their own index vector alone, and every word's shape (case, digits, symbols at both ends) has one too.
+A document is the mean of both over all its words, read by a two-layer network whose probabilities are
+calibrated with one temperature.
+
+Only fitting is bounded (``Params.sample`` labelled rows, ``Params.words`` words with neighbours); scoring
+reads every whole text.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, by_bytes, documents, mix64, text_or_empty, words_of
+from .common import LOWER, NON_SPACE, by_bytes, documents, in_arrow, mix64, text_or_empty, words_of
 
 
 #: Rows of a step: counts of words by row are dense.
 ROWS = 256
+#: Share of its own index vector in a word's vector.
+OWN = 0.5
+#: Parts of the labelled sample, which is bounded; each sends one matrix of word vectors to the driver.
+PARTS = 16
 #: Scores from here on are taken for label 1.
 THRESHOLD = 0.3
 
@@ -56,13 +61,23 @@ def index_vectors(hashes: np.ndarray, p: Params) -> np.ndarray:
     return out
 
 
+def index_sums(hashes: np.ndarray, doc: np.ndarray, n: int, p: Params) -> np.ndarray:
+    """Of each of ``n`` documents, the sum of the index vectors of its words."""
+    out = np.zeros(n * p.dims)
+    with np.errstate(over="ignore"):
+        for k in range(p.nonzero):
+            h = mix64(hashes + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+            out += np.bincount(doc * p.dims + (h % np.uint64(p.dims)).astype(np.int64), weights=np.where(h >> np.uint64(63), 1.0, -1.0), minlength=n * p.dims)
+    return out.reshape(n, p.dims).astype(np.float32)
+
+
 def tokens(texts: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of lower-cased words, their shapes, and the first word of each row."""
     hashes, offsets, starts, ends = words_of(texts, NON_SPACE, LOWER)
     if not len(starts):
         return hashes, np.empty(0, np.int64), offsets
-    first = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
-    shape = _SHAPE[np.frombuffer(texts.buffers()[2], np.uint8)[first:]]
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    shape = _SHAPE[np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]]
     size = ends - starts
     code = np.minimum(size, 15).astype(np.uint64)
     for k in (0, 1):
@@ -90,10 +105,12 @@ class Model:
         counts = np.diff(offsets)
         doc = np.repeat(np.arange(n), counts)
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1) if len(self.known) else np.zeros(len(hashes), np.int64)
-        word = np.where(self.known[at] == hashes, at, len(self.known)) if len(self.known) else at
+        known = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        word = np.where(known, at, len(self.known))
         width = len(self.vectors)
         size = np.maximum(counts, 1)[:, None].astype(np.float32)
         a = np.bincount(doc * width + word, minlength=n * width).reshape(n, width).astype(np.float32) @ self.vectors
+        a += index_sums(hashes[~known], doc[~known], n, p) * np.float32(OWN / p.nonzero**0.5)
         b = np.bincount(doc * p.shapes + shape, minlength=n * p.shapes).reshape(n, p.shapes).astype(np.float32) @ self.shape_vectors
         return np.concatenate([a / size, b / size, np.log1p(counts)[:, None].astype(np.float32)], axis=1)
 
@@ -123,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, p: Params = Params(
 
     Without any labelled row, or with one class only, the model gives that class's share (0.5 without any).
     """
-    sample = labelled(docs, labels, train, p).persist()
+    sample = labelled(docs, labels, train, p).repartition(PARTS, "id").persist()
     try:
 
         def count(batches):
@@ -131,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, p: Params = Params(
                 h, n = np.unique(tokens(t, p)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-        top = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 5").orderBy(F.desc("n"), "h").limit(p.words)
+        top = sample.transform(in_arrow, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 5").orderBy(F.desc("n"), "h").limit(p.words)
         known = np.sort(np.array([r.h for r in top.select("h").toLocalIterator()], np.int64).view(np.uint64))
 
         def contexts(batches):
@@ -156,21 +173,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, p: Params = Params(
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
         total = np.zeros((len(known), p.dims))
-        for r in sample.mapInArrow(contexts, "v binary").toLocalIterator():
+        for r in sample.transform(in_arrow, contexts, "v binary").toLocalIterator():
             total += np.frombuffer(r.v).reshape(total.shape)
         total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
         vectors = np.concatenate([total, np.zeros((1, p.dims))]).astype(np.float32)
         own = np.concatenate([index_vectors(known, p), np.zeros((1, p.dims), np.float32)]) / np.sqrt(p.nonzero)
         shapes = index_vectors(mix64(np.arange(1, p.shapes + 1, dtype=np.uint64)), p)
         width = 2 * p.dims + 1
-        model = Model(p, known, (vectors + 0.5 * own).astype(np.float32), shapes, np.zeros(width, np.float32), np.ones(width, np.float32), (np.zeros((width, p.hidden)), np.zeros(p.hidden), np.zeros(p.hidden), 0.0), 1.0)
+        model = Model(p, known, (vectors + OWN * own).astype(np.float32), shapes, np.zeros(width, np.float32), np.ones(width, np.float32), (np.zeros((width, p.hidden)), np.zeros(p.hidden), np.zeros(p.hidden), 0.0), 1.0)
 
         def features(batches):
             for b, t in _texts(batches):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in model.pooled(t)], pa.binary())], ["id", "y", "x"])
 
         kind = sample.schema["id"].dataType.simpleString()
-        rows = sample.select("id", "t", "y").mapInArrow(features, f"id {kind}, y int, x binary").toPandas().sort_values("id", kind="stable")
+        rows = sample.select("id", "t", "y").transform(in_arrow, features, f"id {kind}, y int, x binary").toPandas().sort_values("id", kind="stable")
     finally:
         sample.unpersist()
     y = rows.y.to_numpy(np.float64)
@@ -226,7 +243,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(t).astype(np.float64))], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).transform(in_arrow, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -239,7 +256,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             t = b.column(at)
             yield b.filter(pa.array(shared.value.scores(t.fill_null("") if t.null_count else t) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)
 
 
 def _fold(column: str):
