@@ -4,8 +4,10 @@ Each text becomes the set of its 5-word shingles (lower-cased words of letters a
 fewer words is one shingle) and a SimHash of 256 bits. Texts with equal sets are one node from the start.
 Each of several tables groups nodes by randomly sampled bits; the number of tables follows from the bits
 and from ``MISS``, the chance that a pair right at similarity 0.8 meets in none. Pairs of a bucket within
-``RADIUS`` bits are candidates, and those with a Jaccard similarity of at least 0.8 are links. A
-document's class is the least doc_id that links lead to.
+``RADIUS`` bits, and of sizes that allow it, are candidates, and those with a Jaccard similarity of at least
+0.8 are links. Each node's nearest candidate of a bucket is verified first; of the others only those that the
+links so far leave in different classes, so copies of one text do not meet each with each. A document's class
+is the least doc_id that links lead to.
 
 A bucket of more than ``CAP`` nodes is first regrouped by additional sampled bits, several times over with
 other bits, which links most of its copies; then its nodes are compared block by block: each with the nearest
@@ -16,17 +18,18 @@ that could join classes are compared, whatever its size.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, dropped, mix64, shingles_of, text_or_empty, words_of, written
+from .common import by_bytes, documents, dropped, in_arrow, mix64, shingles_of, text_or_empty, words_of, written
 from .graphs import components
 
 BITS = 256
+LEAST = 0.8
 #: Share of bits that differ, as expected of sets of a Jaccard similarity of 0.8 (cosine 8/9).
 APART = math.acos(2 * 0.8 / 1.8) / math.pi
 #: Candidates differ in no more bits; 3.3 standard deviations above the mean at similarity 0.8.
@@ -34,7 +37,11 @@ RADIUS = round(BITS * APART + 3.3 * math.sqrt(BITS * APART * (1 - APART)))
 #: Chance that a pair at similarity 0.8 shares no bucket.
 MISS = 0.004
 #: Nodes of a bucket beyond which it is regrouped by more bits.
-CAP = 512
+CAP = 2048
+#: Nodes of a bucket, about, that the number of sampled bits aims at.
+AIM = 256
+#: Second nodes that a task verifies against one first node.
+SALTED = 2048
 #: Nodes of an oversized bucket that a task compares with as many others at once.
 BLOCK = 4096
 #: Regroupings of an oversized bucket, each by other bits.
@@ -74,12 +81,12 @@ def prints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(packed, pa.binary())], ["id", "k1", "k2", "n", "fp", "sh"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).mapInArrow(run, f"id {kind}, k1 long, k2 long, n int, fp binary, sh binary")
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("t")).transform(in_arrow, run, f"id {kind}, k1 long, k2 long, n int, fp binary, sh binary")
 
 
 def plan_tables(nodes: int) -> tuple[int, int]:
     """Bits that a table samples, and how many tables there are, for so many nodes."""
-    bits = min(40, max(12, math.ceil(math.log2(max(1, nodes) / 64))))
+    bits = min(40, max(10, math.ceil(math.log2(max(1, nodes) / AIM))))
     return bits, math.ceil(math.log(MISS) / math.log(1 - (1 - APART) ** bits))
 
 
@@ -88,19 +95,20 @@ def _order(table: int, turn: int) -> np.ndarray:
 
 
 def _keyed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """``(tab, key, node, fp)``: each node in each table."""
+    """``(tab, key, node, m, fp)``: each node in each table; ``m`` is its number of shingles."""
     orders = [_order(t, 0)[:bits] for t in range(tables)]
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                fp = part.column(1)
+                fp = part.column(2)
                 raw = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), BITS // 8), axis=1)
                 for t, cols in enumerate(orders):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(_pack(raw[:, cols])), part.column(0), fp], ["tab", "key", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(_pack(raw[:, cols])), part.column(0), part.column(1), fp], ["tab", "key", "node", "m", "fp"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "tab int, key long, node long, fp binary")
+    sized = nodes if "m" in nodes.columns else nodes.withColumn("m", F.lit(1))
+    return sized.select("node", "m", "fp").transform(in_arrow, run, "tab int, key long, node long, m int, fp binary")
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -111,14 +119,14 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 
 def _deeper(rows: DataFrame, bits: int, turn: int) -> DataFrame:
-    """Rows ``(tab, key, n, node, fp)`` of oversized buckets, ``AGAIN`` times, with so many more bits that about CAP / 4 stay together."""
+    """Rows ``(tab, key, n, node, m, fp)`` of oversized buckets, ``AGAIN`` times, with so many more bits that about CAP / 4 stay together."""
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
                 tab, key, n = (part.column(k).to_numpy() for k in range(3))
-                fp = part.column(4)
+                fp = part.column(5)
                 raw = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), BITS // 8), axis=1)
                 extra = np.ceil(np.log2(4 * n / CAP)).astype(np.int64)
                 for again in range(AGAIN):
@@ -129,9 +137,9 @@ def _deeper(rows: DataFrame, bits: int, turn: int) -> DataFrame:
                         new[who] = _pack(raw[who][:, cols]) >> (32 - np.minimum(extra[who], 32))
                     with np.errstate(over="ignore"):
                         mixed = mix64(mix64(key.astype(np.uint64)) + mix64(new.astype(np.uint64) * np.uint64(64) + extra.astype(np.uint64)) + np.uint64(again)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mixed), part.column(3), fp], ["tab", "key", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mixed), part.column(3), part.column(4), fp], ["tab", "key", "node", "m", "fp"])
 
-    return rows.select("tab", "key", "n", "node", "fp").mapInArrow(run, "tab int, key long, node long, fp binary")
+    return rows.select("tab", "key", "n", "node", "m", "fp").transform(in_arrow, run, "tab int, key long, node long, m int, fp binary")
 
 
 def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -154,14 +162,19 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa
         yield held, np.array([0, held.num_rows])
 
 
-def _pairs(rows: DataFrame, within: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` of a bucket no more than RADIUS bits apart; buckets hold a bounded number of rows."""
+def _sizes_allow(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may have a similarity of LEAST."""
+    return np.minimum(x, y) >= LEAST * np.maximum(x, y) - 1e-9
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Candidate pairs ``(a, b, near)`` of a bucket; ``near`` where one is the other's nearest. Buckets hold a bounded number of rows."""
 
     def run(batches):
         for b, starts in in_groups(batches, 2):
-            node = b.column(2).to_numpy()
-            fp = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            found_a, found_b = [], []
+            node, m = b.column(2).to_numpy(), b.column(3).to_numpy().astype(np.float64)
+            fp = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            found = []
             for i, j in zip(starts.tolist(), starts[1:].tolist()):
                 if j - i < 2:
                     continue
@@ -169,30 +182,34 @@ def _pairs(rows: DataFrame, within: Callable[[np.ndarray], np.ndarray] | None =
                 apart = np.zeros((j - i, j - i), np.uint16)
                 for k in range(BITS // 64):
                     apart += np.bitwise_count(part[:, k, None] ^ part[None, :, k])
+                apart[~_sizes_allow(m[i:j, None], m[None, i:j])] = BITS + 1
+                np.fill_diagonal(apart, BITS + 1)
+                nearest = apart.argmin(1)
                 x, y = np.nonzero(np.triu(apart <= RADIUS, 1))
                 if len(x):
-                    found_a.append(node[i + x])
-                    found_b.append(node[i + y])
-            if found_a:
-                x, y = np.concatenate(found_a), np.concatenate(found_b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    found.append((node[i + x], node[i + y], (nearest[x] == y) | (nearest[y] == x)))
+            if found:
+                x, y, near = (np.concatenate(c) for c in zip(*found))
+                for k in range(0, len(x), 100_000):
+                    u, v = x[k : k + 100_000], y[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(near[k : k + 100_000])], ["a", "b", "near"])
 
-    return rows.repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.repartition("tab", "key").sortWithinPartitions("tab", "key").transform(in_arrow, run, "a long, b long, near boolean").where("a <> b")
 
 
 def _blocks(rows: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of oversized buckets with different labels, no more than RADIUS bits apart, of ``rows (tab, key, n, node, fp, label)``.
+    """Pairs ``(a, b)`` of oversized buckets with different labels, no more than RADIUS bits apart, of ``rows (tab, key, n, node, m, fp, label)``.
 
     Each block of a bucket is compared with each. With ``nearest`` a node has only the nearest of a block.
     """
 
-    def compared(fp, label, x, y):
+    def compared(fp, m, label, x, y):
         for i in range(0, len(x), 256):
             u = x[i : i + 256]
             apart = np.zeros((len(u), len(y)), np.uint16)
             for k in range(BITS // 64):
                 apart += np.bitwise_count(fp[u, k, None] ^ fp[None, y, k])
-            apart[label[u, None] == label[None, y]] = BITS + 1
+            apart[(label[u, None] == label[None, y]) | ~_sizes_allow(m[u, None], m[None, y])] = BITS + 1
             if nearest:
                 at = apart.argmin(1)
                 good = apart[np.arange(len(u)), at] <= RADIUS
@@ -203,8 +220,9 @@ def _blocks(rows: DataFrame, nearest: bool) -> DataFrame:
 
     def run(batches):
         for b, starts in in_groups(batches, 4):
-            lo, hi, own, node, label = (b.column(k).to_numpy() for k in range(2, 7))
-            fp = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            lo, hi, own, node, label, m = (b.column(k).to_numpy() for k in range(2, 8))
+            m = m.astype(np.float64)
+            fp = np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint64).reshape(-1, BITS // 64)
             for i, j in zip(starts.tolist(), starts[1:].tolist()):
                 values, counts = np.unique(label[i:j], return_counts=True)
                 if len(values) < 2:
@@ -218,20 +236,20 @@ def _blocks(rows: DataFrame, nearest: bool) -> DataFrame:
                     ways = [(at[left & rest], at[~left]), (at[~left & rest], at[left] if nearest else at[left & ~rest])]
                 for x, y in ways:
                     if len(x) and len(y):
-                        for p, q in compared(fp, label, x, y):
+                        for p, q in compared(fp, m, label, x, y):
                             for k in range(0, len(p), 100_000):
                                 u, v = node[p[k : k + 100_000]], node[q[k : k + 100_000]]
                                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("tab", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "fp")
+    rows = rows.select("tab", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "m", "fp")
     order = ("tab", "key", "lo", "hi")
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*order).sortWithinPartitions(*order).transform(in_arrow, run, "a long, b long").distinct()
 
 
 def candidates(nodes: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs ``(a, b)`` of ``nodes (node, fp)`` that share a bucket and differ in at most RADIUS bits, and the rows ``(tab, key, n, node, fp)`` of oversized buckets.
+    """Candidate pairs ``(a, b, near)`` of ``nodes (node, m, fp)``, and the rows ``(tab, key, n, node, m, fp)`` of oversized buckets.
 
     Of oversized buckets the pairs are those that regroupings keep together.
     """
@@ -250,7 +268,7 @@ def candidates(nodes: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame |
     union = out[0]
     for more in out[1:]:
         union = union.unionByName(more)
-    return (union.distinct() if len(out) > 1 else union), hot
+    return union.groupBy("a", "b").agg(F.bool_or("near").alias("near")), hot
 
 
 def joining(hot: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
@@ -260,24 +278,27 @@ def joining(hot: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
     return written(_blocks(rows.join(mixed, ["tab", "key"]), nearest), "joining")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs whose shingle sets (``sets (node, sh)``) have a Jaccard similarity of at least ``least``.
 
-    All rows of a pair's first node come in order behind its own set, so a task holds two sets at a time.
+    All rows of a pair's first node come in order behind its own set, so a task holds two sets at a time; a
+    node that is first in very many pairs has its set in as many tasks as they take.
     """
-    from_b = pairs.join(sets.select(F.col("node").alias("b"), "sh"), "b").select("a", "b", "sh")
-    from_a = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sh")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    from_b = salted.join(sets.select(F.col("node").alias("b"), "sh"), "b").select("a", "salt", "b", "sh")
+    from_a = sets.join(many.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "sh")
 
     def run(batches):
         own, mine = None, np.empty(0, np.uint32)
         for batch in batches:
-            a, b, sh = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            (a, salt, b), sh = (batch.column(k).to_pylist() for k in range(3)), batch.column(3)
             found = []
             for i in range(len(a)):
                 s = np.frombuffer(sh[i].as_buffer(), "<u4")
                 if b[i] is None:
-                    own, mine = a[i], s.copy()
-                elif own == a[i]:
+                    own, mine = (a[i], salt[i]), s.copy()
+                elif own == (a[i], salt[i]):
                     n, m = len(mine), len(s)
                     if min(n, m) >= least * max(n, m):
                         both = np.sort(np.concatenate([mine, s]), kind="stable")
@@ -289,7 +310,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     rows = from_a.unionByName(from_b)
-    return rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).transform(in_arrow, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", cap: int = CAP) -> DataFrame:
@@ -301,7 +322,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     spark = docs.sparkSession
     table = written(prints(docs, text, id_col).withColumn("row", F.monotonically_increasing_id()), "prints")
     real = table.where("n > 0 and id is not null")
-    nodes = written(real.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.first("fp").alias("fp")), "nodes")
+    nodes = written(real.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.first("n").alias("m"), F.first("fp").alias("fp")), "nodes")
 
     def linked_by(pairs: DataFrame) -> DataFrame:
         wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
@@ -312,7 +333,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return out
 
     found, hot = candidates(nodes, cap)
-    links = linked_by(written(found, "pairs"))
+    found = written(found, "pairs")
+    links = linked_by(written(found.where("near").select("a", "b"), "near"))
+    rest = found.where("not near").select("a", "b")
+    labels = components(links)
+    for end in "ab":
+        rest = rest.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+    rest = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
+    links = links.unionByName(linked_by(rest))
+    dropped(spark, found)
     for nearest in (True, False) if hot is not None else ():
         more = joining(hot, links, nearest)
         if not more.limit(1).count():

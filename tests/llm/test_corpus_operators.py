@@ -206,6 +206,33 @@ def test_quality(spark, odd, none):
     assert quality.score(none, alone).collect() == [] and quality.score(odd, alone).first().score == pytest.approx(0.5)
 
 
+def test_quality_by_brute_force(spark, small):
+    """Pooled vectors and the forward pass, word by word in plain Python."""
+    import math
+
+    import pyarrow as pa
+
+    p = quality.Params(sample=200, words=60, epochs=2)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(small, labels, F.lit(True), p)
+    texts = [r.text or "" for r in small.limit(25).collect()] + ["", "Zz9! unknown-word", "é"]
+    got = model.pooled(pa.array(texts))
+    known = {int(h): i for i, h in enumerate(model.known)}
+    for t, x, s in zip(texts, got, model.scores(pa.array(texts))):
+        hashes, shapes, _ = quality.tokens(pa.array([t]), p)
+        sums, forms = np.zeros(p.dims), np.zeros(p.dims)
+        for h, shape in zip(hashes.tolist(), shapes.tolist()):
+            own = quality.index_vectors(np.array([h], np.uint64), p)[0] * quality.OWN / math.sqrt(p.nonzero)
+            sums += model.vectors[known[h]] if h in known else own
+            forms += model.shape_vectors[shape]
+        n = max(1, len(hashes))
+        want = np.concatenate([sums / n, forms / n, [math.log1p(len(hashes))]])
+        assert len(hashes) == len(t.split()) and np.allclose(x, want, atol=1e-4)
+        w1, b1, w2, b2 = model.weights
+        hidden = [math.tanh(sum((v - m) / c * w for v, m, c, w in zip(want, model.mean, model.scale, w1[:, k])) + b1[k]) for k in range(p.hidden)]
+        assert s == pytest.approx(1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, w2)) + b2) / model.temperature)), abs=1e-3)
+
+
 def test_warc_round_trip(tmp_path, spark):
     a = warc.record("response", "r1", "http://A.example:80/x?b=2&a=1#top", "2024-01-01T00:00:00Z", "200 OK", [("ETag", '"e"'), ("Content-Type", "text/html"), ("Vary", "x")], b"body\r\n\r\nmore", "sha256:1")
     b = warc.record("revisit", "v1", "http://a.example/x?a=1&b=2", "2024-01-03T00:00:00Z", "304 Not Modified", [("ETag", 'W/"e"'), ("Vary", "y"), ("Content-Length", "0")], b"")
@@ -357,6 +384,7 @@ def test_pairs_of_oversized_buckets_are_all_compared(spark):
     rows = [(i, bytearray(np.packbits(b).tobytes())) for i, b in enumerate(bits)]
     nodes = spark.createDataFrame(rows, "node long, fp binary")
     found, hot = simhash_dedup.candidates(nodes, cap=2)
+    found = found.select("a", "b")
     more = simhash_dedup.joining(hot, spark.createDataFrame([], "a long, b long"), False)
     got = {tuple(x) for x in found.collect()} | {tuple(x) for x in more.collect()}
     n, tables = simhash_dedup.plan_tables(150)
