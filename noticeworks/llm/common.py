@@ -150,14 +150,17 @@ class Kept(dict):
         self.most, self.held = most, 0
 
     def keep(self, found: dict) -> None:
-        fit = {k: v for k, v in found.items() if len(k) <= self.LONGEST}
-        size = sum(map(len, fit)) * 2 + self.EACH * len(fit)
+        """Keeps ``found``, which may be in it already, or what of it fits."""
+        for k in [k for k in found if len(k) > self.LONGEST]:
+            self.pop(k, None)
+            del found[k]
+        size = sum(map(len, found)) * 2 + self.EACH * len(found)
         if self.held + size > self.most:
             self.clear()
             self.held = 0
             if size > self.most:
                 return
-        self.update(fit)
+        self.update(found)
         self.held += size
 
 

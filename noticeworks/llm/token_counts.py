@@ -68,10 +68,9 @@ class SentencePieceCounter:
         split = [words_with_spaces(t) for t in texts]
         words = self.words
         new = {w for ws in split for w in ws if w not in words}
-        if not new:
-            return [sum(map(words.__getitem__, ws)) for ws in split]
-        found = self.learn(list(new))
-        out = [sum(found[w] if w in found else words[w] for w in ws) for ws in split]
+        found = self.learn(list(new)) if new else {}
+        words.update(found)  # all of the batch's for the moment
+        out = [sum(map(words.__getitem__, ws)) for ws in split]
         words.keep(found)
         return out
 
