@@ -36,12 +36,44 @@ def labelled_slices(df: DataFrame, key: Column, labels: list[str]) -> DataFrame:
     return slices(df, key).withColumn("ord", order).where("ord > 0").orderBy("ord")
 
 
+#: Values of a group beyond which its median is found by ranks and not in one buffer.
+MEDIAN_ROWS = 2_000_000
+
+
 def medians(df: DataFrame, key: Column, value: Column, least: int, all_rows: bool = False) -> DataFrame:
-    """Exact medians by key with their sample sizes, from ``least`` rows on; the greatest first."""
+    """Exact medians by key with their sample sizes, from ``least`` rows on; the greatest first.
+
+    A group of very many values isn't gathered: its middle ranks are found between two approximate ones.
+    """
     rows = df.select(key.alias("key"), value.alias("value")).where(F.col("key").isNotNull())
     if not all_rows:
         rows = rows.where(F.col("value").isNotNull())
-    return rows.groupBy("key").agg(F.count("*").alias("n"), F.median("value").alias("median")).where(F.col("n") >= least).orderBy(F.desc("median"), "key")
+    largest = rows.groupBy("key").agg(F.count("value").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    found = rows.groupBy("key").agg(F.count("*").alias("n"), F.median("value").alias("median")) if largest <= MEDIAN_ROWS else _medians_by_rank(rows)
+    return found.where(F.col("n") >= least).orderBy(F.desc("median"), "key")
+
+
+def _medians_by_rank(rows: DataFrame, near: float = 0.002) -> DataFrame:
+    """``(key, n, median)`` of ``rows (key, value)``: of each group only the values around its middle are sorted."""
+    by = rows.groupBy("key").agg(F.count("*").alias("n"), F.count("value").alias("m"), F.percentile_approx("value", [0.5 - near, 0.5 + near], F.lit(10_000)).alias("b"))
+    by = by.select("key", "n", "m", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+    at = rows.where("value is not null").join(by, "key")
+    counts = at.where("value <= hi").groupBy("key", "m", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("v")).agg(F.count("*").alias("c"))  # all below ``lo`` are one row
+    so_far = F.sum("c").over(W.partitionBy("key").orderBy(F.col("v").asc_nulls_first()))
+    middle = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v")))
+    low, high = F.floor((F.col("m") - 1) / 2), F.floor(F.col("m") / 2)
+    picked = counts.withColumn("upto", so_far).groupBy("key").agg(middle(low).alias("a"), middle(high).alias("b"))
+    return by.join(picked, "key", "left").select("key", "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
+def median(df: DataFrame, value: Column) -> DataFrame:
+    """``(n, median)`` of all values that aren't null; one row."""
+    v = df.select(value.cast("double").alias("v")).where("v is not null")
+    n = v.count()
+    if n <= MEDIAN_ROWS:
+        return v.agg(F.count("*").alias("n"), F.median("v").alias("median"))
+    a, b = at_ranks(v, ((n - 1) // 2, n // 2), n)
+    return df.sparkSession.createDataFrame([(n, (a + b) / 2)], "n long, median double")
 
 
 def by_year(df: DataFrame, date: str, starting: Column, appraised: Column, least: int = 5) -> DataFrame:
@@ -81,44 +113,52 @@ def histogram(df: DataFrame, value: Column, bins: int = 7, least: int = 8) -> Da
     n = v.count()
     if n < least:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n long")
-    # ranks from counts of equal values: one row for each different value goes through the window, in ranges
-    low, high = int(n * 0.05), int(n * 0.95)
-    counts = v.groupBy("v").agg(F.count("*").alias("c"))
-    bound = _at_ranks(counts, (low, high))
-    lo, hi = (max(100.0, float(int(b / 100 + 0.5)) * 100) for b in bound)
+    lo, hi = (max(100.0, float(int(b / 100 + 0.5)) * 100) for b in at_ranks(v, (int(n * 0.05), int(n * 0.95)), n))
     if hi <= lo:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n long")
     width = (hi - lo) / bins
     at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / width))).cast("int")
-    found = counts.groupBy(at.alias("bin")).agg(F.sum("c").alias("n"))
+    found = v.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(found, "bin", "left").select("bin", (lo + F.col("bin") * width).alias("lower"), (lo + (F.col("bin") + 1) * width).alias("upper"), F.coalesce("n", F.lit(0)).alias("n")).orderBy("bin")
 
 
-def _at_ranks(counts: DataFrame, ranks: tuple[int, ...]) -> list[float]:
-    """Values at 0-based ranks of counted values: narrowed by ranges until few values are left."""
-    out = []
-    for rank in ranks:
-        part, before = counts, 0
-        while True:
-            s = part.agg(F.count("*").alias("k"), F.min("v").alias("a"), F.max("v").alias("b")).first()
-            if s.k <= 4096:
-                seen = before
-                for r in part.orderBy("v").collect():  # at most 4,096 rows
-                    seen += r.c
-                    if seen > rank:
-                        out.append(r.v)
+def at_ranks(v: DataFrame, ranks: tuple[int, ...], n: int, near: float = 0.002, few: int = 50_000) -> list[float]:
+    """Values at 0-based ranks of the ``n`` values ``v (v)``: brackets from approximate ranks, narrowed until few values lie in each.
+
+    All ranks are narrowed in the same passes.
+    """
+    found: dict[int, float] = {}
+    open_ = dict.fromkeys(ranks, (float("-inf"), float("inf"), 0, n))  # lower and upper end, values below, values within
+    while open_:
+        inside = lambda b: F.col("v").between(F.lit(b[0]), F.lit(b[1]))
+        cuts = []
+        for r, b in open_.items():
+            f = (r - b[2]) / max(1, b[3])
+            cuts.append(F.percentile_approx(F.when(inside(b), F.col("v")), [max(0.0, f - near), min(1.0, f + near)], F.lit(10_000)))
+        ends = v.agg(*(c.alias(f"c{i}") for i, c in enumerate(cuts))).first()
+        new = {r: (ends[i][0], ends[i][1]) for i, r in enumerate(open_)}
+        counts = v.agg(*(c.alias(f"c{2 * i + k}") for i, (lo, hi) in enumerate(new.values()) for k, c in enumerate((F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi)))))).first()
+        for i, r in enumerate(list(open_)):
+            lo, hi = new[r]
+            below, within = counts[2 * i], counts[2 * i + 1]
+            if not below <= r < below + within:  # an approximate end lies on the wrong side
+                lo, hi, below, within = open_[r]
+                near *= 4
+            if lo == hi:
+                found[r] = lo
+            elif within <= few:
+                seen = below
+                for row in v.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("c")).orderBy("v").collect():  # ``few`` rows at most
+                    seen += row.c
+                    if seen > r:
+                        found[r] = row.v
                         break
-                break
-            step = (s.b - s.a) / 1024
-            cell = F.least(F.floor((F.col("v") - s.a) / step), F.lit(1023))
-            cells = part.groupBy(cell.alias("cell")).agg(F.sum("c").alias("c")).orderBy("cell").collect()  # at most 1,024 rows
-            for r in cells:
-                if before + r.c > rank:
-                    part = part.where(cell == r.cell)
-                    break
-                before += r.c
-    return out
+            else:
+                open_[r] = (lo, hi, below, within)
+                continue
+            del open_[r]
+    return [found[r] for r in ranks]
 
 
 def lead_days(published: Column, sale: Column) -> Column:
@@ -126,17 +166,24 @@ def lead_days(published: Column, sale: Column) -> Column:
     return F.when(d >= 0, d)
 
 
-def comparables(df: DataFrame, row: str, tag: Column, tags: Column, distance: list[Column], limit: int = 3) -> DataFrame:
-    """Of each row, the nearest others that hold its main tag.
+def comparables(df: DataFrame, row: str, tag: Column, tags: Column, near: Column, order: list[Column], limit: int = 3) -> DataFrame:
+    """``(left_id, right_id, rank)``: of each row the best ``limit`` others that hold its main tag, those alike in ``near`` first.
 
-    Every tag keeps its rows as sorted candidates; ``distance`` orders a row's partners. A tag is a key of
-    an equi-join, never a product.
+    Only the best of each tag and class can be partners, and of the other classes the best 2 x ``limit`` of a
+    tag, as one class takes ``limit`` of them at most. So each tag offers a short list, whatever its rows.
     """
-    left = df.select(F.col(row).alias("left_id"), tag.alias("tag"), F.struct("*").alias("l"))
-    right = df.select(F.col(row).alias("right_id"), F.explode(F.array_distinct(tags)).alias("tag"), F.struct("*").alias("r"))
-    pairs = left.join(right, "tag").where("left_id <> right_id")
-    w = W.partitionBy("left_id").orderBy(*distance, "right_id")
-    return pairs.select("left_id", "right_id", "tag", "l", "r", F.row_number().over(w).alias("rank")).where(F.col("rank") <= limit)
+    right = df.select(F.explode(F.array_distinct(tags)).alias("tag"), near.alias("near"), F.col(row).alias("id"), *(o.alias(f"_o{i}") for i, o in enumerate(order)))
+    by = [*(F.col(f"_o{i}") for i in range(len(order))), F.col("id")]
+    best = right.withColumn("r", F.row_number().over(W.partitionBy("tag", "near").orderBy(*by))).where(F.col("r") <= limit + 1)
+    alike = best.groupBy("tag", "near").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("alike"))  # limit + 1 at most
+    first = best.where(F.col("r") <= limit).withColumn("q", F.row_number().over(W.partitionBy("tag").orderBy(*by))).where(F.col("q") <= 2 * limit)
+    others = first.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("q", "near", "id"))).alias("others"))  # 2 x limit at most
+    left = df.select(F.col(row).alias("left_id"), tag.alias("tag"), near.alias("own"))
+    met = left.join(alike, (left["tag"] == alike["tag"]) & left["own"].eqNullSafe(alike["near"]), "left").drop(alike["tag"]).join(others, "tag")
+    none = F.array().cast(right.schema["id"].dataType.simpleString().join(("array<", ">")))
+    same = F.filter(F.coalesce("alike", none), lambda x: x != F.col("left_id"))
+    apart = F.transform(F.filter("others", lambda x: ~x["near"].eqNullSafe(F.col("own"))), lambda x: x["id"])
+    return met.select("left_id", F.posexplode(F.slice(F.concat(F.slice(same, 1, limit), apart), 1, limit)).alias("pos", "right_id")).select("left_id", "right_id", (F.col("pos") + 1).alias("rank"))
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:

@@ -62,8 +62,8 @@ def chain_positions(spark, sf):
 
 @query(f"WITH c AS ({_CHAIN_SQL}), f AS (SELECT 1 - o_totalprice / prev AS fall FROM c WHERE prev > 0) SELECT round(median(fall), 4) AS median_fall, count(*)::BIGINT AS sample FROM f WHERE fall > 0.01 AND fall < 0.95")
 def chain_fall_median(spark, sf):
-    f = _chain(spark, sf).select(numbers.fall(F.col("previous_price"), F.col("o_totalprice")).alias("fall"))
-    return f.agg(_n(F.median("fall")).alias("median_fall"), F.count("fall").alias("sample"))
+    m = A.median(_chain(spark, sf), numbers.fall(F.col("previous_price"), F.col("o_totalprice")))
+    return m.select(_n(F.col("median")).alias("median_fall"), F.col("n").alias("sample"))
 
 
 @query("SELECT count(*)::BIGINT AS repeated FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)")
@@ -130,8 +130,8 @@ def weekly_strip(spark, sf):
 def lead_days_median(spark, sf):
     o = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    d = rows.select(A.lead_days(F.to_date("o_orderdate"), F.to_date("l_shipdate")).alias("d"))
-    return d.agg(_n(F.median("d")).alias("days"), F.count("d").alias("n"))
+    m = A.median(rows, A.lead_days(F.to_date("o_orderdate"), F.to_date("l_shipdate")))
+    return m.select(_n(F.col("median")).alias("days"), "n")
 
 
 @query("SELECT o_orderpriority AS label, count(*)::BIGINT AS n FROM orders GROUP BY 1")
@@ -161,7 +161,7 @@ def tag_rollup_nested(spark, sf):
 @query("""WITH p AS (SELECT coalesce(CASE WHEN c_custkey % 3 = 0 THEN n_name END, CASE WHEN c_custkey % 3 = 1 THEN r_name END, 'seat') AS place, c_custkey % 3 = 0 AS exact, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT place, count(*)::BIGINT AS total, sum((c_acctbal > 0)::INT)::BIGINT AS upcoming, bool_or(exact) AS exact FROM p GROUP BY 1""")
 def place_rollup(spark, sf):
-    c = _t(spark, sf, "customer").join(F.broadcast(_t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(_t(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = _t(spark, sf, "customer").join(places._sized(_t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(places._sized(_t(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     kind = F.col("c_custkey") % 3
     place = F.coalesce(F.when(kind == 0, F.col("n_name")), F.when(kind == 1, F.col("r_name")), F.lit("seat"))
     return c.groupBy(place.alias("place")).agg(F.count("*").alias("total"), F.count_if(F.col("c_acctbal") > 0).alias("upcoming"), F.bool_or(kind == 0).alias("exact"))
@@ -169,7 +169,7 @@ def place_rollup(spark, sf):
 
 @query("SELECT n_name AS place, count(*)::BIGINT AS total, sum((s_acctbal > 0)::INT)::BIGINT AS open FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def court_points(spark, sf):
-    s = _t(spark, sf, "supplier").join(F.broadcast(_t(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = _t(spark, sf, "supplier").join(places._sized(_t(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     return s.groupBy(F.col("n_name").alias("place")).agg(F.count("*").alias("total"), F.count_if(F.col("s_acctbal") > 0).alias("open"))
 
 
@@ -178,8 +178,7 @@ r AS (SELECT l.p_partkey AS left_id, w.p_partkey AS right_id, row_number() OVER
 SELECT left_id, right_id, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def comparables_top3(spark, sf):
     p = _t(spark, sf, "part").withColumn("words", F.split("p_name", " "))
-    out = A.comparables(p, "p_partkey", F.get("words", 0), F.col("words"), [(F.col("l.p_brand") != F.col("r.p_brand")).cast("int"), F.desc("r.p_size")])
-    return out.select("left_id", "right_id", "rank")
+    return A.comparables(p, "p_partkey", F.get("words", 0), F.col("words"), F.col("p_brand"), [-F.col("p_size")])
 
 
 @query("""WITH p AS (SELECT n_nationkey AS k, 42.5 + n_nationkey * 0.11 AS lat, 15.7 + n_regionkey * 0.9 AS lon FROM nation),
@@ -263,11 +262,6 @@ def html_to_text(spark, sf):
     return t.select("page_id", F.sha2("t", 256).alias("sha"), F.length("t").alias("chars"))
 
 
-@query(f"""SELECT doc_id, trim(regexp_replace(replace(translate(lower(left(text, 200)), '{text.MARKED}', '{text.PLAIN}'), 'đ', 'd'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
-def fold_slug(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", text.slug(F.substring("text", 1, 200)).alias("slug"))
-
-
 @query(f"""SELECT doc_id, sha256(slug) AS sha, length(slug)::INTEGER AS chars FROM (SELECT doc_id, trim(regexp_replace(replace(translate(lower(text), '{text.MARKED}', '{text.PLAIN}'), 'đ', 'd'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents)""")
 def fold_slug_whole(spark, sf):
     t = _t(spark, sf, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
@@ -418,7 +412,7 @@ FROM c LEFT JOIN g ON g.place = c.n_name LEFT JOIN g g2 ON lower(g2.place) = low
 def place_cascade(spark, sf):
     n, r = _t(spark, sf, "nation"), _t(spark, sf, "region")
     g = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("place"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
-    c = _t(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    c = _t(spark, sf, "customer").join(places._sized(n), F.col("c_nationkey") == F.col("n_nationkey")).join(places._sized(r), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
     at = places.locate(c, g, [("municipality", F.col("n_name")), ("seat", F.when(F.col("r_name") == "ASIA", "china").otherwise(F.col("r_name")))])
     return at.groupBy("place", "found_by").agg(F.count("*").alias("n"))
 
