@@ -33,6 +33,11 @@ def monday(date: Column) -> Column:
     return F.trunc(date, "week")
 
 
+def week_label(monday_: Column) -> Column:
+    """``dd.MM – dd.MM.`` of a week from its Monday."""
+    return F.concat(F.date_format(monday_, "dd.MM."), F.lit(" – "), F.date_format(F.date_add(monday_, 6), "dd.MM."))
+
+
 def urgency(days: Column) -> Column:
     return F.when(days < 0, "past").when(days <= 3, "due").when(days <= 7, "soon").otherwise("later")
 

@@ -243,9 +243,11 @@ def item_tags(title: Column, description: Column, body: Column | None = None, ta
 
 def reading(text: Column, title: Column) -> Column:
     """The rules' whole reading of a notice as one struct."""
+    from .merge import municipality  # merge builds on this module
+
     t = to_latin(F.concat_ws("\n", F.coalesce(title, F.lit("")), text))
     flat = F.regexp_replace(t, r"\n+", " ")
     return F.struct(
         case_number(t).alias("case_number"), money(amounts(t)).alias("money"), auction_round(flat).alias("auction_round"), sale_method(flat).alias("sale_method"), sale_time(flat).alias("sale_time"),
-        venue(flat).alias("auction_location"), viewing(flat).alias("viewing_info"), cadastral(t).alias("cadastral"),
+        venue(flat).alias("auction_location"), viewing(flat).alias("viewing_info"), cadastral(t).alias("cadastral"), municipality(t).alias("municipality"),
     )

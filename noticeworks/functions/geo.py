@@ -22,3 +22,25 @@ def project(lat: Column, lon: Column, west: float, north: float, squeeze: float
 def radius(count: Column, most: Column) -> Column:
     """A circle whose area goes with the count."""
     return 5 + F.sqrt(F.try_divide(count, most)) * 30
+
+
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """A line with the points left out that lie within ``tolerance`` of what remains; for outlines drawn once, on the driver.
+
+    The farthest point of a stretch from its chord stays if it is farther than that, and parts the stretch in two.
+    """
+    keep, todo = {0, len(points) - 1} if points else set(), [(0, len(points) - 1)]
+    while todo:
+        a, b = todo.pop()
+        (ax, ay), (bx, by) = points[a], points[b]
+        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
+        far, at = 0.0, None
+        for i in range(a + 1, b):
+            x, y = points[i]
+            d = abs((by - ay) * (x - ax) - (bx - ax) * (y - ay)) / length if length else ((x - ax) ** 2 + (y - ay) ** 2) ** 0.5
+            if d > far:
+                far, at = d, i
+        if at is not None and far > tolerance:
+            keep.add(at)
+            todo += [(a, at), (at, b)]
+    return [points[i] for i in sorted(keep)]

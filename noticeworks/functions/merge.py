@@ -35,7 +35,7 @@ def merged(llm: Column, rules: Column, rule_description: Column, rule_tags: Colu
         clean_headline(llm["headline"]).alias("headline"), described.alias("item_description"), F.when(own_tags, llm["itemTags"]).otherwise(rule_tags).alias("item_tags"),
         F.coalesce(rules["case_number"], F.trim(llm["caseNumber"])).alias("case_number"), F.when(has, money).otherwise(F.struct(*(rules["money"][n].alias(n) for n in ("appraised", "starting", "deposit")))).alias("money"),
         F.when(llm["saleTime"].rlike(r"^\d{2}:\d{2}\z"), llm["saleTime"]).otherwise(rules["sale_time"]).alias("sale_time"), known(llm["auctionRound"], rules["auction_round"]).alias("auction_round"), known(llm["saleMethod"], rules["sale_method"]).alias("sale_method"),
-        F.coalesce(_filled(llm["auctionLocation"]), rules["auction_location"]).alias("auction_location"), _filled(llm["municipality"]).alias("municipality"), F.coalesce(record, rules["cadastral"]).alias("cadastral"),
+        F.coalesce(_filled(llm["auctionLocation"]), rules["auction_location"]).alias("auction_location"), F.coalesce(_filled(llm["municipality"]), rules["municipality"]).alias("municipality"), F.coalesce(record, rules["cadastral"]).alias("cadastral"),
         F.when(own_tags, extract.infer_sale_type(F.concat_ws("\n", title, F.coalesce(described, F.substring(body, 1, 2000))))).alias("sale_type"),
     )
 
@@ -92,3 +92,30 @@ def nominative(locative: Column, table: dict[str, str]) -> Column:
     regular = F.when(locative.rlike(r"(?iu)[bcdfghjklmnprstvzčćžšđ]u\z") & (F.length(locative) > 4), F.expr("null").cast("string")).otherwise(locative)
     cut = F.coalesce(regular, locative.substr(F.lit(1), F.length(locative) - 1))
     return F.coalesce(F.try_element_at(pairs, key), F.try_element_at(pairs, F.replace(key, F.lit(" "), F.lit(""))), cut)
+
+
+#: Seats of courts with the ending that their name takes behind "u"; an alternation of the two forms by town.
+_SEATS = """
+Banja Luka|Banjoj Luci; Banja Luka|Banjaluci; Banovići|Banovićima; Bihać|Bihaću; Bijeljina|Bijeljini; Brčko|Brčkom; Brčko|Brčko; Breza|Breze; Bugojno|Bugojnu; Busovača|Busovači; Cazin|Cazinu; Čapljina|Čapljini;
+Čitluk|Čitluku; Derventa|Derventi; Doboj|Doboju; Foča|Foči; Goražde|Goraždu; Gračanica|Gračanici; Gradačac|Gradačcu; Gradiška|Gradišci; Istočno Sarajevo|Istočnom Sarajevu; Jajce|Jajcu; Kakanj|Kaknju;
+Kalesija|Kalesiji; Kiseljak|Kiseljaku; Ključ|Ključu; Konjic|Konjicu; Kotor Varoš|Kotorvarošu; Kozarska Dubica|Kozarskoj Dubici; Livno|Livnu; Lopare|Loparama; Lukavac|Lukavcu; Ljubuški|Ljubuškom; Maglaj|Maglaju;
+Modriča|Modriči; Mostar|Mostaru; Mrkonjić Grad|Mrkonjićgradu; Nevesinje|Nevesinju; Novi Grad|Novomgradu; Olovo|Olovu; Orašje|Orašju; Posušje|Posušju; Prijedor|Prijedoru; Prnjavor|Prnjavoru; Prozor|Prozoru;
+Sanski Most|Sanskommostu; Sarajevo|Sarajevu; Sokolac|Sokocu; Srebrenica|Srebrenici; Srebrenik|Srebreniku; Stolac|Stocu; Široki Brijeg|Širokom Brijegu; Tešanj|Tešnju; Teslić|Tesliću; Tomislavgrad|Tomislavgradu;
+Travnik|Travniku; Trebinje|Trebinju; Tuzla|Tuzli; Velika Kladuša|Velikoj Kladuši; Visoko|Visokom; Višegrad|Višegradu; Vitez|Vitezu; Vlasenica|Vlasenici; Zavidovići|Zavidovićima; Zenica|Zenici; Zvornik|Zvorniku;
+Žepče|Žepču; Živinice|Živinicama
+"""
+
+
+def seats() -> dict[str, str]:
+    """Folded locatives of court seats with their nominatives."""
+    plain = str.maketrans("čćžšđ", "cczsd")
+    pairs = (p.strip().split("|") for p in _SEATS.replace("\n", " ").split(";"))
+    return {locative.lower().translate(plain): name for name, locative in pairs}
+
+
+def municipality(text: Column) -> Column:
+    """The town of a text's court header, in the nominative: labels behind it go, capitals are re-cased; null without a header."""
+    header = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:op[cć]inski|osnovni|kantonalni|okru[zž]ni)\s+(?:privredni\s+)?sud\s+u?\s*(\p{{L}}[\p{{L}}\p{{N}}_]+(?:[^\S\n]+\p{{L}}[\p{{L}}\p{{N}}_]+)?)"
+    name = F.regexp_extract(text, header, 1)
+    name = F.trim(F.regexp_replace(name, r"(?iu)\s*(?<![\p{L}\p{N}_])(?:broj|br|predmet|posl|dana|datum|sudija)(?![\p{L}\p{N}_]).*\z", ""))
+    return F.when(name != "", nominative(F.initcap(F.lower(name)), seats()))

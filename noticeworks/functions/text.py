@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CYRILLIC = "абвгдђежзијклмнопрстћуфхцчшѓќѕАБВГДЂЕЖЗИЈКЛМНОПРСТЋУФХЦЧШЃЌЅ"
 _LATIN = "abvgdđežzijklmnoprstćufhcčšđćzABVGDĐEŽZIJKLMNOPRSTĆUFHCČŠĐĆZ"
 _DIGRAPHS = (("љ", "lj"), ("њ", "nj"), ("џ", "dž"), ("Љ", "Lj"), ("Њ", "Nj"), ("Џ", "Dž"))
-#: Letters with marks, and what is left without them; closed over Latin-1 and the letters of Central Europe.
-MARKED = "àáâãäåāăąçćčĉċďèéêëēĕėęěĝğġģìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeeggggiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+_BLOCKS = ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000))
+
+
+def _marked() -> dict[str, str]:
+    """Small letters with marks, and what is left without them: Latin, Greek and Cyrillic ones."""
+    out = {}
+    for c in (chr(i) for a, b in _BLOCKS for i in range(a, b)):
+        apart = unicodedata.normalize("NFD", c)
+        if c.lower() == c and len(apart) > 1 and all(unicodedata.combining(x) for x in apart[1:]):
+            out[c] = apart[0]
+    return out | {"ł": "l", "ħ": "h"}
+
+
+_LETTERS = _marked()
+MARKED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
+#: Marks that follow their letter as signs of their own.
+MARKS = "".join(chr(i) for i in range(0x300, 0x370))
+#: Letters of the region's languages from a letter and such a mark.
+_COMPOSED = {unicodedata.normalize("NFD", c): c for c in "čćžšČĆŽŠáéíóúýÁÉÍÓÚÝàèìòùÀÈÌÒÙäëïöüÿÄËÏÖÜâêîôûÂÊÎÔÛãñõÃÑÕąęĄĘřěŘĚůŮőűŐŰńśźŃŚŹżŻțșȚȘåÅйЙ"}
 
 
 def to_latin(c: Column) -> Column:
@@ -22,23 +40,24 @@ def to_latin(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Latin, lower case, without marks; đ becomes d."""
-    return F.translate(F.lower(to_latin(c)), MARKED + "đ", PLAIN + "d")
+    return F.translate(F.lower(to_latin(c)), MARKED + "đ" + MARKS, PLAIN + "d")
 
 
 def fold_place(c: Column) -> Column:
     """A place name to compare by: without marks (đ stays apart and parts words), other signs as single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(c), MARKED + MARKS, PLAIN), r"[^a-z0-9]+", " "))
 
 
 def decode_entities(c: Column) -> Column:
-    """The common named entities and decimal and hexadecimal ones up to U+FFFF; others stay."""
-    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&#[xX]?[0-9A-Fa-f]{1,6};|[^&]+|&)"), 1)
+    """The common named entities and decimal and hexadecimal ones of any character; others stay."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&#[xX]?[0-9A-Fa-f]{1,7};|[^&]+|&)"), 1)
 
     def one(p: Column) -> Column:
         digits = F.regexp_extract(p, r"^&#([0-9]+);$", 1)
         hexes = F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]+);$", 1)
         code = F.when(digits != "", digits.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
-        return F.when(code.isNotNull() & code.between(1, 0xFFFF), _character(code)).otherwise(p)
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(sound, _character(code)).otherwise(p)
 
     c = F.array_join(F.transform(pieces, one), "")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
@@ -47,15 +66,25 @@ def decode_entities(c: Column) -> Column:
 
 
 def _character(code: Column) -> Column:
-    """A character of the basic plane by its code, through its UTF-16 bytes."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    """A character by its code, through its UTF-16 bytes: two units beyond the basic plane."""
+    high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(1023))
+    units = F.when(code > 0xFFFF, F.concat(F.hex(high), F.hex(low))).otherwise(F.lpad(F.hex(code), 4, "0"))
+    return F.decode(F.unhex(units), "UTF-16BE")
+
+
+def composed(c: Column) -> Column:
+    """Letters followed by a mark as one letter each; texts without such marks stay as they are."""
+    out = c
+    for apart, one in _COMPOSED.items():
+        out = F.replace(out, F.lit(apart), F.lit(one))
+    return F.when(c.rlike("[\u0300-\u036f]"), out).otherwise(c)
 
 
 def clean_whitespace(c: Column) -> Column:
     """No-break spaces as spaces, long dot leaders as four dots, runs and edges trimmed, two newlines at most."""
     for pattern, to in ((r"[   ]", " "), (r"\.{4,}", "...."), (r"[ \t\f\r]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+\z", "")):
         c = F.regexp_replace(c, pattern, to)
-    return c
+    return composed(c)
 
 
 def html_to_text(c: Column) -> Column:
@@ -108,6 +137,17 @@ def case_of_capitals(c: Column) -> Column:
     return F.when(c == F.upper(c), made).otherwise(c)
 
 
+def title_case(c: Column) -> Column:
+    """Every word small with a large first letter, whatever the case before."""
+    return F.initcap(F.lower(c))
+
+
+def html_escape(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def sentence_case(c: Column) -> Column:
     """The first letter large; a text all in capitals small behind it, short ones (acronyms) as they are."""
     return F.when((c == F.upper(c)) & (F.length(c) > 4), F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))).otherwise(F.concat(F.upper(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c))))

@@ -56,3 +56,15 @@ def commonest_spelling(df: DataFrame, name: Column) -> DataFrame:
     """Of each folded name its most frequent spelling, ties in Bosnian order."""
     counts = df.select(name.alias("name")).where("name is not null").groupBy(fold_place(F.col("name")).alias("key"), "name").agg(F.count("*").alias("n"))
     return top_per_group(counts, "key", [F.desc("n"), F.collate("name", "bs"), F.col("name")], 1).select("key", "name", "n")
+
+
+def commonest_within(df: DataFrame, name: Column, within: Column) -> DataFrame:
+    """``(key, within, n)``: of each folded name the region it is most often said to lie in, ties in Bosnian order."""
+    counts = df.select(fold_place(name).alias("key"), within.alias("within")).where("key <> '' and within is not null").groupBy("key", "within").agg(F.count("*").alias("n"))
+    return top_per_group(counts, "key", [F.desc("n"), F.collate("within", "bs"), F.col("within")], 1).select("key", "within", "n")
+
+
+def seats_placed(seats: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``(court_id, place)`` of courts whose seat the gazetteer knows; others are left out."""
+    known = _sized(gazetteer.groupBy(fold_place(F.col("place")).alias("_key")).agg(F.min("place").alias("place")))
+    return seats.withColumn("_key", fold_place(F.col("seat"))).join(known, "_key").select("court_id", "place").orderBy("court_id")

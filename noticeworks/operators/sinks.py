@@ -14,10 +14,14 @@ def feed_items(df: DataFrame, order: list[Column], limit: int = 100) -> DataFram
     """RSS items of the first ``limit`` rows: ``title``, ``guid`` and ``published`` in; the index spreads dates by minutes."""
     top = df.orderBy(*order).limit(limit)
     i = F.row_number().over(W.orderBy(*order)) - 1  # over at most ``limit`` rows
-    top = top.withColumn("i", i)
+    return lines(top.withColumn("i", i)).orderBy("i")
+
+
+def lines(top: DataFrame) -> DataFrame:
+    """RSS items of rows ``title, guid, published`` with their index ``i``, which spreads the dates by minutes."""
     at = F.date_format(F.to_timestamp("published") + F.make_dt_interval(mins=F.least("i", F.lit(59))), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     line = F.concat(F.lit("<item><title>"), xml_escape(F.col("title")), F.lit("</title><guid>"), xml_escape(F.col("guid")), F.lit("</guid><pubDate>"), at, F.lit("</pubDate></item>"))
-    return top.withColumn("line", line).orderBy("i")
+    return top.withColumn("line", line)
 
 
 def feed(items: DataFrame, title: str) -> DataFrame:

@@ -31,9 +31,10 @@ def central_feed(spark: SparkSession, path: str) -> DataFrame:
 def category_feed(spark: SparkSession, path: str, limit: int = 400) -> DataFrame:
     """Articles of landed category pages (one folder a category), no more than ``limit`` of each, in the feed's order."""
     rows = spark.read.schema(ARTICLES).json(path, multiLine=True)
-    category = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+\z", 1)
-    rows = rows.withColumn("category", category).withColumn("_seq", F.monotonically_increasing_id())
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy("category").orderBy("_seq"))).where(F.col("_r") <= limit).drop("_r", "_seq")
+    file = F.input_file_name()
+    page = F.regexp_extract(file, r"([0-9]+)[^/0-9]*\z", 1).try_cast("long")
+    rows = rows.select("*", F.regexp_extract(file, r"([^/]+)/[^/]+\z", 1).alias("category"), page.alias("_page"), file.alias("_file"), F.monotonically_increasing_id().alias("_seq"))  # a file is read by one task, from its start
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy("category").orderBy("_page", "_file", "_seq"))).where(F.col("_r") <= limit).withColumn("seq", F.col("_r")).drop("_r", "_seq", "_page", "_file")
 
 
 def is_sale_category(name: Column) -> Column:
@@ -84,11 +85,11 @@ def candidates(central: DataFrame, articles: DataFrame) -> DataFrame:
     )
     b = articles.select(
         F.col("id").alias("article_id"), F.col("insId").alias("court_id"), F.col("institucija").alias("court"), F.coalesce("header", F.lit("")).alias("title"), F.concat_ws("\n", F.nullif("description", F.lit("")), F.nullif("content", F.lit(""))).alias("inline"),
-        F.lit(None).cast("string").alias("type_code"), F.lit(None).cast("string").alias("type_label"), dates.parse_date(F.col("date")).alias("published_date"), F.lit(None).cast("date").alias("sale_date"), F.lit(1).alias("src_rank"),
+        F.lit(None).cast("string").alias("type_code"), F.lit(None).cast("string").alias("type_label"), dates.parse_date(F.col("date")).alias("published_date"), F.lit(None).cast("date").alias("sale_date"), F.lit(1).alias("src_rank"), (F.col("seq") if "seq" in articles.columns else F.lit(0)).alias("_o"),
     )
-    u = a.unionByName(b)
-    rest = [c for c in u.columns if c != "article_id"]
-    return u.groupBy("article_id").agg(F.min_by(F.struct(*rest), F.struct("src_rank", "title")).alias("r")).select("article_id", "r.*")
+    u = a.withColumn("_o", F.lit(0)).unionByName(b)
+    rest = [c for c in u.columns if c not in ("article_id", "_o")]
+    return u.groupBy("article_id").agg(F.min_by(F.struct(*rest), F.struct("src_rank", "_o", "title")).alias("r")).select("article_id", "r.*")
 
 
 def best_text(inline: Column, attachments: Column) -> Column:
