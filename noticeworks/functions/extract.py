@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .numbers import DEPOSIT_CAP, MOST_PLAUSIBLE, js_round, parse_amount
 from .patterns import any_of
-from .text import case_of_capitals, fold, tidy, to_latin
+from .text import case_of_capitals, fold, once, tidy, to_latin
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _MARK = any_of("Ips, Ipl, Ip, I, Kom, Kmp, Mals, Mal, Ps, Pl, P, Su, Rev, Ri, Reg, Fi")
@@ -99,20 +99,35 @@ def infer_sale_type(text: Column) -> Column:
 
 # --- money -----------------------------------------------------------------------------------------
 
-#: An amount with the 130 characters ahead of it, the start of its line if near, and the rest of its line.
-_AMOUNT = (
-    r"(?i)(?<=(\A[\s\S]{0,129}|[\s\S]{130}))(?<!\d)(?<!\d[.,])"
-    r"(\d(?:[\d.,   ]{0,18}\d)?)\s*(?:BAM|K\.M\.|KM)(?![A-Za-z0-9_])(?=([^\n]*))"
-)
+#: Characters ahead of an amount that tell its role.
+_AHEAD = 130
+_NUMBER, _UNIT = r"\d(?:[\d.,   ]{0,18}\d)?", r"\s*(?:BAM|K\.M\.|KM)(?![A-Za-z0-9_])"
+_AMOUNT = rf"(?i)(?<!\d)(?<!\d[.,])({_NUMBER})({_UNIT})"
+
+
+def _found(t: Column) -> Column:
+    """Amounts of a text in order, as ``struct<c, n, r>``: what is ahead, the number, and the rest of the line; one pass over the text."""
+    marked = F.split(F.regexp_replace(F.translate(t, "\x01\x02", ""), _AMOUNT, "\x01$1\x02$2"), "\x01")
+    n = F.size(marked) - 1
+    start = F.struct(F.right(F.get(marked, 0), F.lit(_AHEAD)).alias("ahead"), F.lit(0).alias("i"), F.array().cast("array<struct<c:string,n:string,r:string>>").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        number = F.substring_index(s, "\x02", 1)
+        behind = s.substr(F.length(number) + 2, F.length(s))
+        rest = F.regexp_replace(behind, rf"^(?i:{_UNIT})", "")
+        line = F.substring_index(rest, "\n", 1)
+        more = ~F.contains(rest, F.lit("\n")) & (state["i"] + 1 < n)  # another amount follows on the line
+        one = F.struct(state["ahead"].alias("c"), number.alias("n"), F.when(more, F.concat(line, F.lit("…………"))).otherwise(line).alias("r"))
+        ahead = F.right(F.concat(state["ahead"], number, behind), F.lit(_AHEAD))
+        return F.struct(ahead.alias("ahead"), (state["i"] + 1).alias("i"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    return F.aggregate(F.slice(marked, 2, F.greatest(n, F.lit(1))), start, step)["out"]
 
 
 def amounts(text: Column) -> Column:
     """Amounts of a text in order, each with its role: debt, item, deposit, floor, appraised or unknown."""
-    t = to_latin(text)
-    groups = [F.regexp_extract_all(t, F.lit(_AMOUNT), k) for k in (1, 2, 3)]
-
     def one(z: Column) -> Column:
-        context = F.replace(z["0"], F.lit("\n"), F.lit(" "))
+        context = F.replace(z["c"], F.lit("\n"), F.lit(" "))
         c = fold(context)
         per_cent = F.regexp_extract(c, r"(\d{2})\s*%", 1).try_cast("double")
         part = F.regexp_extract(c, r"1\s*/\s*(\d{1,2})", 1).try_cast("double")
@@ -126,36 +141,46 @@ def amounts(text: Column) -> Column:
             .when(c.rlike(any_of("utvrden, procijenjen, procjenjen, procenjen, trzisn, vrijednost, vrednost, iznose, iznosi, vrijede")), "appraised")
             .otherwise("unknown")
         )
-        before = F.regexp_extract(z["0"], r"([^\n]*)\z", 1)
-        near = (F.length(before) < 130) | (F.length(z["0"]) < 130)
+        before = F.regexp_extract(z["c"], r"([^\n]*)\z", 1)
+        near = (F.length(before) < _AHEAD) | (F.length(z["c"]) < _AHEAD)
         return F.struct(
-            parse_amount(z["1"]).alias("amount"), role.alias("role"), F.when(role == "deposit", tenth).when(role == "floor", of_floor).alias("part"),
-            c.rlike(any_of("pocetn, najniz, polazn")).alias("starting"), ((F.length(F.trim(z["2"])) <= 2) & near).alias("row"),
+            parse_amount(z["n"]).alias("amount"), role.alias("role"), F.when(role == "deposit", tenth).when(role == "floor", of_floor).alias("part"),
+            c.rlike(any_of("pocetn, najniz, polazn")).alias("starting"), ((F.length(F.trim(z["r"])) <= 2) & near).alias("row"),
         )
 
-    found = F.transform(F.arrays_zip(*(g.alias(str(k)) for k, g in enumerate(groups))), one)
+    found = F.transform(_found(to_latin(text)), one)
     return F.filter(found, lambda a: (a["amount"] > 0) & (a["amount"] <= MOST_PLAUSIBLE))
 
 
 def money(found: Column) -> Column:
     """Appraisal, starting price, deposit and the total printed, from classified amounts."""
-    zero = F.lit(0.0)
     free = lambda a: a["row"] & ~a["role"].isin("debt", "deposit", "floor")
-    rows = F.size(F.filter(found, free)) >= 2  # a list of prices; promoted before any appraisal is read
-    a = F.transform(found, lambda x: F.struct(x["amount"].alias("amount"), F.when(rows & free(x), "item").otherwise(x["role"]).alias("role"), x["part"].alias("part"), x["starting"].alias("starting")))
+
+    def of_roles(found: Column, rows: Column) -> Column:
+        roles = F.transform(found, lambda x: F.struct(x["amount"].alias("amount"), F.when(rows & free(x), "item").otherwise(x["role"]).alias("role"), x["part"].alias("part"), x["starting"].alias("starting")))
+        printed = F.aggregate(found, F.lit(0.0), lambda s, x: s + x["amount"])
+        return once(roles, lambda a: once(_candidates(a), lambda c: _settled(c, printed)))
+
+    # a list of prices is told before any appraisal is read
+    return once(found, lambda f: once(F.size(F.filter(f, free)) >= 2, lambda rows: of_roles(f, rows)))
+
+
+def _candidates(a: Column) -> Column:
+    """What amounts with roles offer: floor, the least that the items come to, an appraisal, a deposit."""
     of = lambda role: F.filter(a, lambda x: x["role"] == role)
     most = lambda role: F.array_max(F.transform(of(role), lambda x: x["amount"]))
-    items = F.aggregate(of("item"), zero, lambda s, x: s + x["amount"])
-    sum_ = F.when((items > 0) & (items <= MOST_PLAUSIBLE), items)
-    as_start = F.exists(of("item"), lambda x: x["starting"])
-    floor = F.coalesce(most("floor"), F.when(as_start, sum_))
+    items = F.aggregate(of("item"), F.lit(0.0), lambda s, x: s + x["amount"])
     derived = F.get(F.concat(F.filter(of("floor"), lambda x: x["part"].isNotNull()), F.filter(of("deposit"), lambda x: x["part"].isNotNull())), 0)
-    value = F.coalesce(most("appraised"), F.when(~as_start, sum_), derived["amount"] * derived["part"])
     deposit = F.get(F.filter(of("deposit"), lambda x: x["amount"] <= DEPOSIT_CAP), 0)["amount"]
-    return F.struct(
-        js_round(value).alias("appraised"), js_round(F.when(value.isNull() | (floor <= value * 1.01), floor)).alias("starting"), js_round(deposit).alias("deposit"),
-        F.aggregate(found, zero, lambda s, x: s + x["amount"]).alias("printed"),
-    )
+    return F.struct(items.alias("items"), F.exists(of("item"), lambda x: x["starting"]).alias("as_start"), most("floor").alias("floor"), most("appraised").alias("appraised"), once(derived, lambda d: d["amount"] * d["part"]).alias("derived"), deposit.alias("deposit"))
+
+
+def _settled(c: Column, printed: Column) -> Column:
+    sum_ = F.when((c["items"] > 0) & (c["items"] <= MOST_PLAUSIBLE), c["items"])
+    both = F.struct(F.coalesce(c["appraised"], F.when(~c["as_start"], sum_), c["derived"]).alias("value"), F.coalesce(c["floor"], F.when(c["as_start"], sum_)).alias("floor"))
+    return once(both, lambda b: F.struct(
+        js_round(b["value"]).alias("appraised"), js_round(F.when(b["value"].isNull() | (b["floor"] <= b["value"] * 1.01), b["floor"])).alias("starting"), js_round(c["deposit"]).alias("deposit"), printed.alias("printed"),
+    ))
 
 
 # --- cadastral ----------------------------------------------------------------------------------------
@@ -182,13 +207,13 @@ def clean_places(names: Column) -> Column:
 
 
 def clean_numbers(values: Column) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v.rlike(r"^\d{1,7}(?:/\d{1,4})?\z"))), 1, 25)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.rlike(r"^\d{1,7}(?:/\d{1,4})?\z"))), 1, 25)
 
 
 def sanitised(kc: Column, zk: Column, ko: Column) -> Column:
     """A record of parcels, folios and places; null if nothing in it is sound."""
-    a, b, c = clean_numbers(kc), clean_numbers(zk), clean_places(ko)
-    return F.when((F.size(a) + F.size(b) + F.size(c)) > 0, F.struct(a.alias("kc"), b.alias("zk_ulozak"), c.alias("ko")))
+    record = F.struct(clean_numbers(kc).alias("kc"), clean_numbers(zk).alias("zk_ulozak"), clean_places(ko).alias("ko"))
+    return once(record, lambda r: F.when((F.size(r["kc"]) + F.size(r["zk_ulozak"]) + F.size(r["ko"])) > 0, r))
 
 
 def cadastral(text: Column) -> Column:
@@ -205,7 +230,7 @@ def settlement(ko: Column) -> Column:
     """The first place of a record without its district; capitals alone are re-cased."""
     first = F.get(clean_places(ko), 0)
     name = F.trim(F.regexp_replace(F.regexp_replace(first, r"(?i)[ –-]*mahala\s+[CILVX]+[.]?\z", ""), r"\s+(?:[CILVX]{1,6}|\d\d?)[.]?\z", ""))
-    return F.when(is_place(name), case_of_capitals(name))
+    return once(name, lambda n: F.when(is_place(n), case_of_capitals(n)))
 
 
 # --- what is sold ----------------------------------------------------------------------------------

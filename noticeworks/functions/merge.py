@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import extract, numbers
 from .describe import usable
-from .text import case_of_capitals, clip, fold, sentence_case
+from .text import case_of_capitals, clip, fold, once, sentence_case
 
 
 def _filled(c: Column) -> Column:
@@ -66,7 +66,10 @@ _BASES = {"nekretnine": "Nekretnina", "vozila": "Vozilo", "tehnika": "Tehnička
 
 def headline(own: Column, sale_type: Column, description: Column, title: Column, ko: Column, municipality: Column) -> Column:
     """A model's headline, else a property's kind, size and place, else the first things listed, else kind and place."""
-    text = F.concat_ws(" ", description, title)
+    return once(F.concat_ws(" ", description, title), lambda text: _headline(text, own, sale_type, description, ko, municipality))
+
+
+def _headline(text: Column, own: Column, sale_type: Column, description: Column, ko: Column, municipality: Column) -> Column:
     kind = None
     for pattern, label in _KINDS:
         hit = text.rlike(rf"(?iu)(?<![\p{{L}}]){pattern}")
@@ -76,9 +79,8 @@ def headline(own: Column, sale_type: Column, description: Column, title: Column,
     property_ = F.when((sale_type == "nekretnine") & kind.isNotNull(), F.concat_ws(" - ", F.concat_ws(" ", kind, F.concat(area, F.lit(" m²"))), place))
     parts = F.transform(F.split(description, r";"), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?iu)\s*[-–—,]?\s*(?:vrijednost\w*\s*)?[\d.,]+\s*KM.*\z", ""), r"[„“”\"']", "")))
     parts = F.filter(parts, lambda p: (F.length(p) >= 3) & p.rlike(r"(?iu)[a-zčćžšđ]{3,}"))
-    listed = F.array_join(F.transform(F.slice(parts, 1, 3), sentence_case), ", ")
-    listed = F.when(F.size(parts) > 3, F.concat(listed, F.lit(" i još "), (F.size(parts) - 3).cast("string"))).otherwise(listed)
-    listed = F.when(F.length(listed) >= 8, clip(listed, 92))
+    shown = lambda p: F.concat(F.array_join(F.transform(F.slice(p, 1, 3), sentence_case), ", "), F.when(F.size(p) > 3, F.concat(F.lit(" i još "), (F.size(p) - 3).cast("string"))).otherwise(""))
+    listed = once(once(parts, shown), lambda x: F.when(F.length(x) >= 8, clip(x, 92)))
     base = None
     for k, v in _BASES.items():
         base = F.when(sale_type == k, v) if base is None else base.when(sale_type == k, v)
@@ -87,6 +89,10 @@ def headline(own: Column, sale_type: Column, description: Column, title: Column,
 
 def nominative(locative: Column, table: dict[str, str]) -> Column:
     """A town's name from its locative: by table (with and without spaces), else a regular ending taken off."""
+    return once(locative, lambda c: _nominative(c, table))
+
+
+def _nominative(locative: Column, table: dict[str, str]) -> Column:
     key = F.trim(F.regexp_replace(fold(locative), r"[^a-z0-9]+", " "))
     pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv)) if table else F.create_map().cast("map<string,string>")
     regular = F.when(locative.rlike(r"(?iu)[bcdfghjklmnprstvzčćžšđ]u\z") & (F.length(locative) > 4), F.expr("null").cast("string")).otherwise(locative)
@@ -118,4 +124,4 @@ def municipality(text: Column) -> Column:
     header = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:op[cć]inski|osnovni|kantonalni|okru[zž]ni)\s+(?:privredni\s+)?sud\s+u?\s*(\p{{L}}[\p{{L}}\p{{N}}_]+(?:[^\S\n]+\p{{L}}[\p{{L}}\p{{N}}_]+)?)"
     name = F.regexp_extract(text, header, 1)
     name = F.trim(F.regexp_replace(name, r"(?iu)\s*(?<![\p{L}\p{N}_])(?:broj|br|predmet|posl|dana|datum|sudija)(?![\p{L}\p{N}_]).*\z", ""))
-    return F.when(name != "", nominative(F.initcap(F.lower(name)), seats()))
+    return once(name, lambda n: F.when(n != "", nominative(F.initcap(F.lower(n)), seats())))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ MARKS = "".join(chr(i) for i in range(0x300, 0x370))
 _COMPOSED = {unicodedata.normalize("NFD", c): c for c in "čćžšČĆŽŠáéíóúýÁÉÍÓÚÝàèìòùÀÈÌÒÙäëïöüÿÄËÏÖÜâêîôûÂÊÎÔÛãñõÃÑÕąęĄĘřěŘĚůŮőűŐŰńśźŃŚŹżŻțșȚȘåÅйЙ"}
 
 
+def once(c: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(c)`` with ``c`` made once, however often ``build`` names it: as the variable of a lambda."""
+    return F.get(F.transform(F.array(c), build), 0)
+
+
 def to_latin(c: Column) -> Column:
     """Cyrillic letters as Latin ones; digraphs keep the case of their first letter."""
     for a, b in _DIGRAPHS:
@@ -132,6 +138,10 @@ def id_from_slug(c: Column) -> Column:
 
 def case_of_capitals(c: Column) -> Column:
     """A name all in capitals gets one capital a word, across spaces, hyphens and dots; any other stays."""
+    return once(c, _recased)
+
+
+def _recased(c: Column) -> Column:
     words = F.regexp_extract_all(F.lower(c), F.lit(r"([\s\-–_.]+|[^\s\-–_.]+)"), 1)
     made = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), w.substr(F.lit(2), F.length(w)))), "")
     return F.when(c == F.upper(c), made).otherwise(c)

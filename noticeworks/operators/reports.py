@@ -155,7 +155,7 @@ def completeness(listings: DataFrame, pages: DataFrame, events: DataFrame, urls:
     ``pages (id)`` are the pages built, ``events (id, block)`` calendars, ``urls (id)`` the sitemap's, ``feeds (key)`` the feeds by court and tag.
     """
     gone = lambda made, name: listings.select("id").join(made.select("id").distinct(), "id", "left_anti").agg(F.count("*").alias("missing")).select(F.lit(name).alias("check"), "missing")
-    wanted = listings.select(F.concat(F.lit("sudovi/"), F.col("court_id").cast("string")).alias("key")).unionByName(listings.select(F.concat(F.lit("predmeti/"), F.explode("item_tags")).alias("key"))).distinct()
+    wanted = listings.select(F.concat(F.lit("sudovi/"), F.col("court_id").cast("string")).alias("key")).unionByName(listings.select(F.explode(F.transform("item_tags", lambda t: F.concat(F.lit("predmeti/"), t))).alias("key"))).distinct()
     feed = wanted.join(feeds.select("key").distinct(), "key", "left_anti").agg(F.count("*").alias("missing")).select(F.lit("feeds").alias("check"), "missing")
     opened, closed = (F.size(F.split("block", f"{w}:VEVENT")) - 1 for w in ("BEGIN", "END"))
     long = F.exists(F.split("block", "\r\n"), lambda x: F.octet_length(x) > 75)
