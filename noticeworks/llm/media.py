@@ -1,4 +1,8 @@
-"""Media columns: bytes kept as lossless WebP images, written, read back and described."""
+"""Media columns: bytes kept as lossless WebP images, written, read back and described.
+
+A payload is stored as images of up to 4,096 bytes one behind the other, four samples a pixel; all images of a
+batch are coded and decoded side by side (``webp_batch``).
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import webp
+from . import webp_batch
 from .common import by_bytes, documents, in_arrow, text_or_empty
 
-#: Bytes of an image: 16384 x 16384 pixels of 4 samples; more bytes take several images.
-IMAGE_BYTES = 4 * webp.MAX_SIDE**2
+#: Bytes of an image; more bytes take several images.
+IMAGE_BYTES = 4 * webp_batch.PIXELS
 
 
 def padded(data: bytes) -> bytes:
@@ -23,31 +27,49 @@ def padded(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 64 if data else 64)
 
 
+def _swapped(px: np.ndarray) -> np.ndarray:
+    """Red and blue change places: samples in order of their bytes, as pixels and back."""
+    return (px & np.uint32(0xFF00FF00)) | (px & np.uint32(255)) << np.uint32(16) | px >> np.uint32(16) & np.uint32(255)
+
+
+def images_of(payload: bytes) -> list[np.ndarray]:
+    """A payload (a multiple of 64 bytes) as ARGB pixels of images, samples in the order red, green, blue, alpha."""
+    return [_swapped(np.frombuffer(payload[i : i + IMAGE_BYTES], "<u4")).reshape(-1, webp_batch.WIDTH) for i in range(0, len(payload), IMAGE_BYTES)]
+
+
+def files_of(stored: bytes) -> list[bytes]:
+    """The image files of a stored form."""
+    out, at = [], 0
+    while at < len(stored):
+        size = 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
+        out.append(stored[at : at + size])
+        at += size
+    return out
+
+
+def pixels(argb: np.ndarray) -> np.ndarray:
+    """``(height, width, 4)`` array of the red, green, blue and alpha samples of an image."""
+    return np.ascontiguousarray(_swapped(argb), "<u4").view(np.uint8).reshape(*argb.shape, 4)
+
+
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    images = [images_of(p) for p in payloads]
+    files = iter(webp_batch.encode_many([x for i in images for x in i]))
+    return [b"".join(next(files) for _ in i) for i in images]
+
+
+def load_many(stored: list[bytes]) -> list[bytes]:
+    files = [files_of(s) for s in stored]
+    images = iter(webp_batch.decode_many([f for x in files for f in x]))
+    return [b"".join(pixels(next(images)).tobytes() for _ in x) for x in files]
+
+
 def store(payload: bytes) -> bytes:
-    """A payload (a multiple of 64 bytes) as images of four 8-bit samples a pixel, in the order red, green, blue, alpha."""
-    out = []
-    for i in range(0, len(payload), IMAGE_BYTES):
-        part = payload[i : i + IMAGE_BYTES]
-        width = 16 if len(part) <= 64 * webp.MAX_SIDE else webp.MAX_SIDE
-        part += b"\0" * (-len(part) % (4 * width))
-        px = np.frombuffer(part, "<u4")  # red in the low byte
-        argb = (px & np.uint32(0xFF00FF00)) | (px & np.uint32(255)) << np.uint32(16) | px >> np.uint32(16) & np.uint32(255)
-        out.append(webp.encode(argb.reshape(-1, width)))
-    return b"".join(out)
-
-
-def pixels(stored: bytes) -> Iterator[np.ndarray]:
-    """``(height, width, 4)`` arrays of the red, green, blue and alpha samples of images one behind the other."""
-    while stored:
-        size = 8 + int.from_bytes(stored[4:8], "little")
-        argb = webp.decode(stored[:size])
-        rgba = (argb & np.uint32(0xFF00FF00)) | argb >> np.uint32(16) & np.uint32(255) | (argb & np.uint32(255)) << np.uint32(16)
-        yield rgba.astype("<u4").view(np.uint8).reshape(*argb.shape, 4)
-        stored = stored[size:]
+    return store_many([payload])[0]
 
 
 def load(stored: bytes, payload_bytes: int) -> bytes:
-    return b"".join(p.tobytes() for p in pixels(stored))[:payload_bytes]
+    return load_many([stored])[0][:payload_bytes]
 
 
 def feature(payload: bytes) -> str:
@@ -74,13 +96,11 @@ def media_columns(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k
     types = [kind, "long", "long", "string", "long", "long", "string", "string", "binary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "t", 4 << 20):
+        for b in by_bytes(batches, "t", 2 << 20):
+            raws = [v.as_buffer().to_pybytes() for v in b.column(1)]
+            media = store_many([padded(r) for r in raws])
             rows = []
-            for value in b.column(1):
-                raw = value.as_buffer().to_pybytes()
-                payload = padded(raw)
-                stored = store(payload)
-                back = load(stored, len(payload))
+            for raw, stored, back in zip(raws, media, load_many(media)):
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back), stored)[: 7 + keep_media])
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()])]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from noticeworks.llm import media, pieces, secret_scan, token_counts, transducer, webp
+from noticeworks.llm import media, pieces, secret_scan, token_counts, transducer, webp, webp_batch
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
@@ -159,6 +159,49 @@ def test_webp_parts():
         webp.decode(webp.encode(px)[:-4])
 
 
+def test_webp_in_step(monkeypatch):
+    """Images side by side are what the decoder of the whole format reads; damaged ones are told."""
+    rng = np.random.default_rng(0)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    images = []
+    for k in range(160):
+        n = 64 * int(rng.integers(1, 65))
+        data = (rng.integers(0, 256, n).astype(np.uint8).tobytes(), b" ".join(words[i] for i in rng.integers(0, 300, n))[:n], (b"repeated line of text!! " * 200)[:n], b"".join(words[i] for i in rng.integers(0, 12, n))[:n])[k % 4]
+        images.append(np.frombuffer(data, "<u4").reshape(-1, 16))
+    files = webp_batch.encode_many(images)
+    assert all((a == b).all() for a, b in zip(images, webp_batch.decode_many(files))) and all((webp.decode(f) == a).all() for a, f in zip(images, files))
+    others = [webp.encode(images[1], cache_bits=3), webp.encode(images[2], references=True), webp.encode(images[0][:, :7]), webp.encode(images[1], cross=np.full((-(-len(images[1]) // 4), 4), 0xFF123456), references=True, meta_bits=2)]
+    assert all((a == b).all() for a, b in zip([images[1], images[2], images[0][:, :7], images[1]], webp_batch.decode_many(others)))
+    for bad in (files[0][:-6], b"RIFF" + files[0][4:8] + b"JUNK" + files[0][12:]):
+        with pytest.raises(ValueError):
+            webp_batch.decode_many([bad])
+
+
+def test_stored_payloads_use_each_part(spark, monkeypatch):
+    """Over the documents of sf0.01: every transform, palettes, references and the colour cache."""
+    used = dict.fromkeys(("predictor", "cross", "green", "palette", "reference", "cache", "modes"), 0)
+    value, predict = webp._value, webp_batch.predicted
+    monkeypatch.setattr(webp, "_value", lambda *a: (used.__setitem__("reference", used["reference"] + 1), value(*a))[1])
+    modes = set()
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").collect()]
+    payloads = [media.padded((t or "").encode()) for t in texts]
+    stored = media.store_many(payloads)
+    assert media.load_many(stored) == payloads
+    monkeypatch.setattr(webp_batch, "predicted", lambda m, *a: (modes.add(m), predict(m, *a))[1])
+    assert media.load_many(stored[:150]) == payloads[:150]
+    for f in [f for s in stored[:400] for f in media.files_of(s)]:
+        bits = webp._Bits(f[20:])
+        bits.read(40)
+        if bits.read(1):
+            used[("predictor", "cross", "green", "palette")[bits.read(2)]] += 1
+        h = webp_batch._head(f)
+        used["cache"] += h is not None and h[4] > 0
+    for f in [f for s in stored[:40] for f in media.files_of(s)]:
+        webp.decode(f)
+    used["modes"] = len(modes)
+    assert all(used.values()) and len(modes) > 5, used
+
+
 def test_media_of_odd_rows(odd, none):
     for x in media.media_columns(odd, keep_media=True).collect():
         back = media.load(x.media, x.payload_bytes)
