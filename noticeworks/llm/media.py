@@ -96,7 +96,7 @@ def media_columns(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k
     types = [kind, "long", "long", "string", "long", "long", "string", "string", "binary"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "t", 2 << 20):
+        for b in by_bytes(batches, "t", 3 << 20):
             raws = [v.as_buffer().to_pybytes() for v in b.column(1)]
             media = store_many([padded(r) for r in raws])
             rows = []

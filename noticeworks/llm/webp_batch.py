@@ -18,7 +18,7 @@ WIDTH, HEIGHT = 16, 64
 #: Pixels of an image, at most.
 PIXELS = WIDTH * HEIGHT
 #: Images in step.
-TOGETHER = 512
+TOGETHER = 1536
 #: Bits of a code, at most; no image has more pixels than such a code may tell apart.
 _BITS = 10
 _FULL = 1 << _BITS
@@ -27,6 +27,8 @@ CACHE_BITS = 6
 _SHORTEST = 3
 BLOCK_BITS = 4
 _REVERSED = np.array([int(f"{i:0{_BITS}b}"[::-1], 2) for i in range(_FULL)])
+#: Predictors that are tried.
+MODES = (1, 2, 3, 4, 7, 11, 12)
 #: Sixteen code-length symbols of four bits each.
 _LENGTHS = [*range(_BITS + 4), 17, 18]
 _NEAR = np.array([max(1, x + y * WIDTH) for x, y in webp._NEAR])
@@ -45,24 +47,32 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     lengths[used] = np.clip(np.ceil(np.log2((total / np.maximum(counts, 1))[used]) - 1e-9), 1, _BITS).astype(np.int64)
     many = used.sum(1)
     left = np.where(many > 1, _FULL - np.where(used, 1 << (_BITS - lengths), 0).sum(1), 0)
-    order = np.argsort(-counts, axis=1, kind="stable")[:, : max(1, int(many.max(initial=1)))]
-    rows = np.arange(len(counts))
-    while (left > 0).any():  # frequent symbols get shorter codes until no value is left over
-        for k in range(order.shape[1]):
-            s = order[:, k]
-            gain = 1 << (_BITS - lengths[rows, s])
-            can = used[rows, s] & (lengths[rows, s] > 1) & (gain <= left)
-            lengths[rows, s] -= can
-            left -= gain * can
+    size = counts.shape[1]
+    order = np.sort((_FULL * 2 - counts.astype(np.int32)) * 512 + np.arange(size, dtype=np.int32), axis=1)[:, : max(1, int(many.max(initial=1)))] & 511  # no row counts more than an image has pixels
+    rows = np.flatnonzero(left > 0)
+    while len(rows):  # frequent symbols get shorter codes until no value is left over
+        mine, rest = order[rows], left[rows]
+        own = np.take_along_axis(lengths[rows], mine, 1)
+        for k in range(int(many[rows].max())):
+            l = own[:, k]
+            gain = np.where(l > 1, 1 << (_BITS - l), 2 * _FULL)
+            can = gain <= rest
+            own[:, k] -= can
+            rest -= gain * can
+        back = lengths[rows]
+        np.put_along_axis(back, mine, own, 1)
+        lengths[rows], left[rows] = back, rest
+        rows = rows[rest > 0]
     return lengths
 
 
 def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row, symbols by length and value (unused ones last), and the widths of their stretches of all values."""
     size = lengths.shape[1]
-    order = np.argsort(np.where(lengths > 0, lengths, 99) * size + np.arange(size), axis=1)
-    sorted_ = np.take_along_axis(lengths, order, 1)
-    return order, np.where(sorted_ > 0, 1 << (_BITS - np.minimum(sorted_, _BITS)), 0)
+    bits = max(1, (size - 1).bit_length())
+    keys = np.sort((np.where(lengths > 0, lengths, 99).astype(np.int32) << bits) | np.arange(size, dtype=np.int32), axis=1)
+    sorted_ = keys >> bits
+    return keys & ((1 << bits) - 1), np.where(sorted_ < 99, 1 << (_BITS - np.minimum(sorted_, _BITS)), 0)
 
 
 def codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ def codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(lengths.shape, np.int64)
     np.put_along_axis(out, order, _REVERSED[np.minimum(start, _FULL - 1)], 1)
     bits = np.where((lengths > 0).sum(1, keepdims=True) > 1, lengths, 0)
-    return np.where(bits > 0, out, 0), bits
+    return np.where(bits > 0, out, 0).astype(np.int32), bits.astype(np.int32)
 
 
 def tables(lengths: np.ndarray) -> np.ndarray:
@@ -86,8 +96,9 @@ def tables(lengths: np.ndarray) -> np.ndarray:
     bits[many <= 1] = 0
     if (width.sum(1) != _FULL).any():
         raise ValueError("not a complete prefix code")
-    flat = np.repeat(((order << 4) | bits).ravel(), width.ravel()).reshape(n, _FULL)
-    return flat[:, _REVERSED].astype(np.uint16 if lengths.shape[1] <= 4095 else np.int64)
+    used = width.ravel() > 0
+    flat = np.repeat(((order << 4) | bits).astype(np.uint16).ravel()[used], width.ravel()[used]).reshape(n, _FULL)
+    return flat[:, _REVERSED]
 
 
 # --- coding --------------------------------------------------------------------------------------------
@@ -106,19 +117,20 @@ class _Packer:
         begin = np.cumsum(per) - per
         at = np.cumsum(bits) - bits - begin[image] + self.size[image]
         some = bits > 0
-        self.parts.append((image[some], at[some], value[some]))
+        self.parts.append((image[some].astype(np.int32), at[some].astype(np.int32), value[some].astype(np.uint32)))
         self.size += per
 
     def done(self) -> list[bytes]:
         nbytes = (self.size + 7) // 8
         start = np.cumsum(nbytes) - nbytes
         total = int(nbytes.sum()) + 8
-        out = np.zeros(total, np.float64)
-        for image, at, value in self.parts:
-            byte = start[image] + (at >> 3)
-            wide = value.astype(np.uint64) << (at & 7).astype(np.uint64)
-            for k in range(5):
-                out += np.bincount(byte + k, weights=(wide >> np.uint64(8 * k) & np.uint64(255)).astype(np.float64), minlength=total)[:total]
+        image, at, value = (np.concatenate(x) for x in zip(*self.parts))
+        byte = start[image] + (at >> 3)
+        wide = value.astype(np.uint64) << (at & 7).astype(np.uint64)
+        most = int(wide.max(initial=0)).bit_length()
+        out = np.zeros(total)
+        for k in range(-(-most // 8)):
+            out += np.bincount(byte + k, weights=wide >> np.uint64(8 * k) & np.uint64(255), minlength=total)[:total]
         raw = out.astype(np.uint8).tobytes()
         return [raw[a : a + n] for a, n in zip(start.tolist(), nbytes.tolist())]
 
@@ -153,7 +165,13 @@ def predicted(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarra
         a = half(left, top)
         d = a - top_left
         return np.clip(a + np.where(d < 0, -(-d // 2), d // 2), 0, 255)
-    return (left, left, top, top_right, top_left, half(half(left, top_right), top), half(left, top_left), half(left, top), half(top_left, top), half(top, top_right), half(half(left, top_left), half(top, top_right)))[mode]
+    if mode < 5:
+        return (left, left, top, top_right, top_left)[mode]
+    if mode == 5:
+        return half(half(left, top_right), top)
+    if mode == 10:
+        return half(half(left, top_left), half(top, top_right))
+    return half(*((left, top_left), (left, top), (top_left, top), (top, top_right))[mode - 6])
 
 
 def _residuals(px: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -167,11 +185,11 @@ def _residuals(px: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, list[np
     each = HEIGHT >> BLOCK_BITS
     where = image * each + block
     best, cost, modes = None, None, None
-    for mode in range(14):
+    for mode in MODES:
         r = (px - predicted(mode, *near)) & 255
         c = np.bincount(where, weights=np.minimum(r, 256 - r).sum((1, 2)), minlength=len(heights) * each)
         if best is None:
-            best, cost, modes = r, c, np.zeros(len(c), np.int64)
+            best, cost, modes = r, c, np.full(len(c), mode)
         else:
             better = c < cost
             best = np.where(better[where][:, None, None], r, best)
@@ -205,10 +223,11 @@ def _cross(px: np.ndarray, e: np.ndarray, sign: int) -> np.ndarray:
 
 
 def _previous(key: np.ndarray) -> np.ndarray:
-    """Of each place, the last one before with the same key; -1 for none."""
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    out = np.full(len(key), -1, np.int64)
+    """Of each place, the last one before with the same 40 bits of ``key``; -1 for none."""
+    both = np.sort(key.astype(np.uint64) << np.uint64(24) | np.arange(len(key), dtype=np.uint64))  # places take 24 bits
+    order = (both & np.uint64((1 << 24) - 1)).astype(np.int32)
+    same = both[1:] >> np.uint64(24) == both[:-1] >> np.uint64(24)
+    out = np.full(len(key), -1, np.int32)
     out[order[1:][same]] = order[:-1][same]
     return out
 
@@ -218,7 +237,7 @@ def _references(flat: np.ndarray, image: np.ndarray, start: np.ndarray) -> tuple
     n = len(flat)
     with np.errstate(over="ignore"):
         key = (flat[:-1].astype(np.uint64) << np.uint64(32) | flat[1:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + image[:-1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    before = _previous(key)
+    before = _previous(key >> np.uint64(24))
     at = np.arange(n - 1)
     good = (before >= 0) & (image[:-1] == image[1:])
     good[good] &= (image[before[good]] == image[at[good]]) & (flat[before[good]] == flat[at[good]]) & (flat[before[good] + 1] == flat[at[good] + 1])
@@ -253,10 +272,12 @@ def encode_many(images: list[np.ndarray]) -> list[bytes]:
 
 def _encode(images: list[np.ndarray]) -> list[bytes]:
     out: list[bytes] = [b""] * len(images)
-    few = [len(np.unique(x)) <= 16 for x in images]
+    front = np.sort(np.array([np.resize(x.ravel()[:48], 48) for x in images]), axis=1)
+    few = (np.diff(front, axis=1) != 0).sum(1) < 16
+    few[few] = [len(np.unique(images[k])) <= 16 for k in np.flatnonzero(few)]
     for k in np.flatnonzero(few).tolist():
         out[k] = webp.encode(images[k], palette=True)
-    which = np.flatnonzero(~np.array(few, bool))
+    which = np.flatnonzero(~few)
     if not len(which):
         return out
     n = len(which)
@@ -264,7 +285,7 @@ def _encode(images: list[np.ndarray]) -> list[bytes]:
     flat = np.concatenate([images[k].ravel() for k in which]).astype(np.uint32)
     count = heights * WIDTH
     start = np.cumsum(count) - count
-    image = np.repeat(np.arange(n), count)
+    image = np.repeat(np.arange(n, dtype=np.int32), count)
     way = _ways(flat, image, start, n)
 
     px = np.stack([flat >> np.uint32(s) & np.uint32(255) for s in (24, 16, 8, 0)], -1).astype(np.int32).reshape(-1, WIDTH, 4)
@@ -297,26 +318,27 @@ def _encode(images: list[np.ndarray]) -> list[bytes]:
     px[green, :, 3] = (px[green, :, 3] - px[green, :, 2]) & 255
     for k in np.flatnonzero(way == 2).tolist():
         heads[k].put(0b101, 3)
-    a, r, g, b = px.reshape(-1, 4).T.astype(np.int64)
-    flat = (a << 24 | r << 16 | g << 8 | b).astype(np.uint32)
+    a, r, g, b = np.ascontiguousarray(px.reshape(-1, 4).T)
+    flat = a.astype(np.uint32) << np.uint32(24) | (r << 16 | g << 8 | b).astype(np.uint32)
 
     # what each pixel is coded as: 0 a literal, 1 the begin of a reference, 2 within one, 3 a cached colour
-    kind = np.zeros(len(flat), np.int64)
+    kind = np.zeros(len(flat), np.int8)
     head, pixels, back = _references(flat, image, start)
-    cover = np.zeros(len(flat) + 1, np.int64)
+    cover = np.zeros(len(flat) + 1, np.int32)
     cover[head] += 1
     cover[head + pixels] -= 1
     kind[np.cumsum(cover)[:-1] > 0] = 2
     kind[head] = 1
     slot = (flat * np.uint32(webp._CACHE_FACTOR)) >> np.uint32(32 - CACHE_BITS)
-    last = _previous(image * (1 << CACHE_BITS) + slot)
+    slot = slot.astype(np.int32)
+    last = _previous(image * np.int32(1 << CACHE_BITS) + slot)
     hit = (kind == 0) & (last >= 0) & (flat[np.maximum(last, 0)] == flat)
     cached = np.bincount(image, weights=hit, minlength=n) * 8 >= count
     hit &= cached[image]
     kind[hit] = 3
 
     size = 280 + (1 << CACHE_BITS)
-    symbol = np.where(kind == 3, 280 + slot.astype(np.int64), g)
+    symbol = np.where(kind == 3, 280 + slot, g)
     symbol[head] = 256 + _SYMBOL[pixels]
     shown = kind != 2
     counts = [np.bincount(image[shown] * size + symbol[shown], minlength=n * size).reshape(n, size)]
