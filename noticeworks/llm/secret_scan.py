@@ -1,9 +1,9 @@
 """Secret scans: three patterns, and a character network over every other candidate in its context.
 
-Candidates are runs of key characters with a digit among them. A convolutional network in numpy reads a
-candidate with the characters around it; it is trained on labelled findings written by a seeded generator
-(keys of many formats against names, numbers, addresses and paths), calibrated with a temperature, and
-cut at the highest threshold that keeps the wanted recall on findings held out.
+Candidates are all runs of LEAST or more key characters. A convolutional network in numpy reads a candidate
+with the characters around it; it is trained on labelled findings written by a seeded generator (keys of many
+formats against words, names, numbers, addresses and paths), calibrated with a temperature on findings held
+out, and cut at the highest threshold that keeps the wanted recall on further ones.
 """
 
 from __future__ import annotations
@@ -26,11 +26,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the same matches as runs of any length, shorter ones dropped
 _NAMES = ("password", "passwd", "secret", "token", "api")
-_DIGIT = re.compile(r"[0-9]")
-_KEY = re.compile(r"[A-Za-z0-9+/_=.-]+")
-_KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
 LEAST, BODY, LEFT, RIGHT = 16, 48, 20, 4
 WIDTH = LEFT + BODY + RIGHT
+_RUN = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 #: Share of the held-out labelled findings that the threshold keeps.
 RECALL = 0.97
 
@@ -48,14 +46,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Bounds of the runs of LEAST or more key characters with a digit."""
-    at = 0
-    while m := _DIGIT.search(text, at):
-        i = m.start()
-        while i > at and text[i - 1] in _KEY_CHARS:
-            i -= 1
-        j = _KEY.match(text, m.start()).end()
-        at = j
+    """Bounds of the runs of LEAST or more key characters, without dots and dashes behind them."""
+    for m in _RUN.finditer(text):
+        i, j = m.span()
         while j > i and text[j - 1] in ".-":
             j -= 1
         if j - i >= LEAST:
@@ -144,16 +137,27 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     low, hexa, b64 = _ALNUM[26:52], "0123456789abcdef", _ALNUM + "+/"
-    word = lambda: pick(low, r.randint(2, 9))
+    syllable = lambda: r.choice(["", *"bcdfghjklmnprstvwz", "ch", "st", "tr", "sch", "pr"]) + r.choice([*"aeiou", "ei", "ou", "au", "ie"]) + r.choice(["", "", *"nrstlm", "ch", "ng"])
+    word = lambda: pick(low, r.randint(2, 9)) if r.random() < 0.4 else "".join(syllable() for _ in range(r.randint(1, 3))) or "a"
+
+    def long_word() -> str:
+        out = ""
+        while len(out) < LEAST + r.randint(0, 12):
+            out += syllable()
+        return out
+
     secrets = [
         lambda: "ghp_" + pick(_ALNUM, 36), lambda: "sk_live_" + pick(_ALNUM, r.randint(20, 40)), lambda: "sk-" + pick(_ALNUM, r.randint(32, 48)), lambda: "xoxb-" + pick("0123456789", 11) + "-" + pick(_ALNUM, 24),
         lambda: "AIza" + pick(_ALNUM + "_-", 35), lambda: "eyJ" + pick(_ALNUM, 20) + "." + "eyJ" + pick(_ALNUM, 40) + "." + pick(_ALNUM + "_-", 43), lambda: pick(b64, 40), lambda: pick(b64, r.randint(22, 86)) + "==", lambda: pick(_ALNUM, r.randint(20, 64)),
         lambda: pick(hexa.upper(), r.choice([32, 40, 64])), lambda: "glpat-" + pick(_ALNUM, 20), lambda: "npm_" + pick(_ALNUM, 36), lambda: pick(_ALNUM + "+/_.-", r.randint(18, 40)),
+        lambda: ("/".join(word() for _ in range(r.randint(1, 6))) + "/")[-26:] + r.choice(["", "ghp_", "key_"]) + pick(_ALNUM, r.randint(18, 22)), lambda: "/" + "/".join(word() for _ in range(r.randint(1, 2))) + "/" + pick(_ALNUM, 24), lambda: pick(_ALNUM[:52], r.randint(20, 48)), lambda: pick(low + "0123456789", r.randint(24, 48)), lambda: "-".join(pick(hexa.upper(), k) for k in (8, 4, 4, 4, 12)), lambda: pick(_ALNUM[:26] + "234567", r.choice([16, 26, 32])),
     ]
     others = [
         lambda: "/".join(word() for _ in range(r.randint(3, 6))) + str(r.randint(0, 99)), lambda: "_".join(word() for _ in range(r.randint(3, 5))) + "_" + str(r.randint(0, 9999)), lambda: ".".join(word() for _ in range(r.randint(3, 6))) + "." + str(r.randint(1, 20)), lambda: pick("0123456789", r.randint(16, 24)),
         lambda: "-".join(pick("0123456789", 4) for _ in range(4)), lambda: f"20{r.randint(10, 30)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T0{r.randint(0, 9)}.30.00.000", lambda: word() + word() + word() + pick("0123456789", r.randint(1, 4)), lambda: "=" * r.randint(14, 30) + str(r.randint(0, 9)), lambda: "-" * r.randint(14, 30) + str(r.randint(0, 9)) + "-" * 4,
         lambda: word() + "=" + word() + "+" + word() + "=" + str(r.randint(0, 99)) + word(), lambda: (word() + word()).upper() + "-" + str(r.randint(100, 999)) + "-" + word(), lambda: "version-" + ".".join(str(r.randint(0, 30)) for _ in range(4)) + "-" + word(), lambda: "/".join(pick("0123456789", r.randint(1, 4)) for _ in range(6)), lambda: (word() + str(r.randint(0, 9))) * 4, lambda: "".join(word().capitalize() for _ in range(4)) + str(r.randint(0, 20)), lambda: pick(low, r.randint(12, 24)) + ".com/" + word() + str(r.randint(1, 99)),
+        lambda: long_word(), lambda: "-".join(word() for _ in range(r.randint(4, 7))), lambda: "/".join(word() for _ in range(r.randint(4, 7))), lambda: "".join(word().capitalize() for _ in range(4)), lambda: "_".join(word().upper() for _ in range(4)), lambda: ".".join(word() for _ in range(5)),
+        lambda: r.choice("=-._/+") * r.randint(16, 60), lambda: pick("-=._", r.randint(16, 30)), lambda: long_word().capitalize(), lambda: (syllable() * 12)[: r.randint(16, 40)], lambda: r.choice(low) * r.randint(16, 50), lambda: long_word() + "-" + long_word(),
     ]
     before_secret = ["key: ", "auth=", "Bearer ", "credential ", "export KEY=", "pass ", "", "private_key ", "client_secret: ", "--key ", "signature=", '"access": "']
     before_any = ["", "see ", "id ", "at ", "file ", "www.", "no. ", "https://", "ref ", "in "]
@@ -162,9 +166,7 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         y = k % 2
         s = r.choice(secrets if y else others)()
         while len(s) < LEAST:
-            s += pick("0123456789" if not y else _ALNUM, 4)
-        if not any(c.isdigit() for c in s):
-            s = s[:-1] + r.choice("0123456789")
+            s += pick("0123456789", 4) if not y and r.random() < 0.5 else word() if not y else pick(_ALNUM, 4)
         lead = r.choice(before_secret if y and r.random() < 0.6 else before_any)
         text = " ".join(word() for _ in range(r.randint(0, 5))) + r.choice([" ", "\n"]) + lead
         out.append((text + s + r.choice([" ", ".", ",", '"', "\n", ""]) + word(), len(text), len(text) + len(s), y))
@@ -176,19 +178,23 @@ def threshold_for(scores: np.ndarray, recall: float = RECALL) -> float:
     return float(np.sort(scores)[len(scores) - math.ceil(recall * len(scores) - 1e-9)])
 
 
+#: Labelled findings to learn from, to calibrate on, and to set the threshold on.
+LEARN, CALIBRATE, CUT = 6000, 1500, 1500
+
+
 @lru_cache(1)
 def trained() -> Network:
-    """The network: fitted, calibrated and cut; the same on every machine up to rounding."""
-    rows = labelled_findings(4000, 11)
+    """The network: fitted, calibrated and cut, each on findings of its own; the same on every machine up to rounding."""
+    rows = labelled_findings(LEARN + CALIBRATE + CUT, 11)
     x = np.array([codes(t, *windows(t, i, j)[0]) for t, i, j, _ in rows])
     y = np.array([v for *_, v in rows], np.float64)
-    learn, held = slice(0, 3000), slice(3000, 4000)
+    learn, calibrate, cut = slice(0, LEARN), slice(LEARN, LEARN + CALIBRATE), slice(LEARN + CALIBRATE, None)
     net = Network()
     rng = np.random.default_rng(3)
     m, v, step = [np.zeros_like(q) for q in net.w], [np.zeros_like(q) for q in net.w], 0
-    for _ in range(5):
-        order = rng.permutation(3000)
-        for k in range(0, 3000, 100):
+    for _ in range(6):
+        order = rng.permutation(LEARN)
+        for k in range(0, LEARN, 100):
             step += 1
             part = order[k : k + 100]
             for q, g, a, b in zip(net.w, net.gradients(x[learn][part], y[learn][part]), m, v):
@@ -196,11 +202,11 @@ def trained() -> Network:
                 b += 0.001 * (g * g - b)
                 q -= 5e-3 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     net.w = [q.astype(np.float32) for q in net.w]
-    logit = net.forward(x[held])[4]
-    sign = np.where(y[held] > 0, -1, 1)
+    logit = net.forward(x[calibrate])[4]
+    sign = np.where(y[calibrate] > 0, -1, 1)
     grid = np.geomspace(0.25, 8, 41)
     net.temperature = float(grid[np.argmin([np.logaddexp(0, sign * logit / t).mean() for t in grid])])
-    found = net.scores(x[held])[y[held] > 0]
+    found = net.scores(x[cut])[y[cut] > 0]
     net.threshold = threshold_for(found)
     assert (found >= net.threshold).mean() >= RECALL
     return net
@@ -219,10 +225,9 @@ def network_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net:
                 touching.append(spans[m])
                 m += 1
             for p, q in parts(i, j, touching):
-                if _DIGIT.search(text, p, q):
-                    for a, b in windows(text, p, q):
-                        where.append((d, p, q))
-                        rows.append(codes(text, a, b))
+                for a, b in windows(text, p, q):
+                    where.append((d, p, q))
+                    rows.append(codes(text, a, b))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i in range(0, len(rows), 4096):
         for (d, s, e), p in zip(where[i : i + 4096], net.scores(np.array(rows[i : i + 4096]))):

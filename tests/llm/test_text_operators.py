@@ -211,6 +211,26 @@ def test_media_of_odd_rows(odd, none):
     assert media.media_columns(none).collect() == []
 
 
+def test_secret_network_on_findings_of_others():
+    """Examples of known formats and of what is often taken for them, none by the generator that the network learns from."""
+    secrets = [
+        "ghp_" + "16C7e42F292c6912E7710c838347Ae178B4a", "xoxb-" + "17653672481-19874698323-pdFZKVeTuE8sk7oOcHrzqqgy", "AIza" + "SyDaGmWKa4JsXZ-HjGw7ISLn_3namBGewQe", "sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY" + "EXAMPLEKEY",
+        "SG." + "ngeVfQFYQlKU0ufo8x5d1A.TwL2iGABf9DHoTf-09kqeF8tAmbihYzrnopKc-1s5cr", "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", "glpat-" + "Zx81kd93LmQ0vRt7YbWc", "MFRGGZDF" + "MZTWQ2LKNNWG23TPOBYXE43U",
+        "dGhpcyBpcyBhIHNlY3JldCBr" + "ZXkgdGhhdCBpcyBsb25n", "rk_test_" + "51H8aKkQy7xTnMv0bWc3ZsR9p",
+    ]
+    others = [
+        "//docs.python.org/3/library/re.html", "internationalization", "/usr/local/share/applications/firefox.desktop", "2024-01-15T09-30-00.000", "pneumonoultramicroscopicsilicovolcanoconiosis", "org.apache.spark.sql.catalyst.expressions", "====================", "MAX_RETRY_ATTEMPTS_PER_REQUEST",
+        "Donaudampfschifffahrtsgesellschaft", "version-2.14.3-beta.1-snapshot", "images/2023/12/holiday-photo-017.jpg", "--------------------", "user.name.example.com/profile/edit", "antidisestablishmentarianism", "this-is-a-long-article-title", "getUserAccountSettingsById",
+    ]
+    net = secret_scan.trained()
+
+    def found(value):
+        text = f"see the value {value} in this line"
+        return bool(secret_scan.network_spans([text], [[]], net)[0])
+
+    assert sum(map(found, secrets)) >= 0.8 * len(secrets) and sum(map(found, others)) <= 0.15 * len(others), ([s for s in secrets if not found(s)], [o for o in others if found(o)])
+
+
 def test_secret_candidates_are_read_whole():
     """Any 24 characters of a candidate lie in one window; a key at a path's end or beside a pattern's match is found."""
     for n in range(16, 200):
@@ -229,6 +249,7 @@ def test_secret_threshold_keeps_recall():
         t = secret_scan.threshold_for(low)
         assert (low >= t).mean() >= secret_scan.RECALL and (low > t).mean() < secret_scan.RECALL
     net = secret_scan.trained()
-    held = [x for x in secret_scan.labelled_findings(4000, 11)[3000:] if x[3]]
+    n = secret_scan.LEARN + secret_scan.CALIBRATE
+    held = [x for x in secret_scan.labelled_findings(n + secret_scan.CUT, 11)[n:] if x[3]]
     p = net.scores(np.array([secret_scan.codes(t, a, b) for t, i, j, _ in held for a, b in secret_scan.windows(t, i, j)[:1]]))
     assert (p >= net.threshold).mean() >= secret_scan.RECALL
