@@ -32,6 +32,8 @@ from .common import LOWER, NON_SPACE, by_bytes, documents, fresh_path, in_arrow,
 END = np.uint64(0xE0D0F7E8D5A1C3B7)
 #: Training words of a shard, about.
 SHARD_TOKENS = 2_000_000
+#: Bits of a shard's number, at most: a million shards, two trillion words.
+MOST_BITS = 20
 #: Words that a counting task holds before it passes counts on.
 FLUSH = 3_000_000
 
@@ -244,6 +246,11 @@ class Model:
         return np.diff(at), total(r["count"] > 0).astype(np.int64), total(np.log10(one)), total(np.log10(np.minimum(p, 1.0)))
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of equal weight side by side: what the shuffle's codec compresses well."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -352,7 +359,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
     spark = docs.sparkSession
     texts = docs.where(learn).select(text_or_empty(text).alias("t"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t") / 6 + 1), F.lit(0.0)).alias("n")).first().n
-    bits = min(14, max(1, math.ceil(math.log2(max(2.0, size / SHARD_TOKENS)))))
+    bits = min(MOST_BITS, max(1, math.ceil(math.log2(max(2.0, size / SHARD_TOKENS)))))
     shards = 1 << bits
     model = Model(fresh_path(spark, "ngrams"), bits, 1, params=params)
     path = model.path
@@ -362,7 +369,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
         return (hashes >> np.uint64(64 - bits)).astype(np.int64), hashes
 
     def build_words(s, keys, counts):
-        _write(f"{path}/1-{s}", ef.pack({f"w.{k}": v for k, v in ef.encode(keys).items()} | {"c": counts}))
+        _write(f"{path}/1-{s}", ef.pack({f"w.{k}": v for k, v in ef.encode(keys).items()} | {"c": _narrow(counts)}))
         return len(keys), int(counts.sum())
 
     rows = _counted(texts, words, shards, build_words)
@@ -391,7 +398,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
         own = (counts - params.discount) / of[context] if len(keys) else np.zeros(0)
         rest = 1 - np.bincount(context, weights=own, minlength=n)
         pointers = np.searchsorted(context, np.arange(n + 1)).astype(np.uint64)
-        _write(f"{path}/2-{s}", ef.pack({f"k.{k}": x for k, x in ef.encode(keys).items()} | {f"p.{k}": x for k, x in ef.encode(pointers).items()} | {"q": quantised(own), "rest": quantised(rest), "c": counts}))
+        _write(f"{path}/2-{s}", ef.pack({f"k.{k}": x for k, x in ef.encode(keys).items()} | {f"p.{k}": x for k, x in ef.encode(pointers).items()} | {"q": quantised(own), "rest": quantised(rest), "c": _narrow(counts)}))
         return len(keys), 0
 
     rows = _counted(texts, pairs, shards, build_pairs)
