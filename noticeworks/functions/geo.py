@@ -29,7 +29,9 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
 
     The farthest point of a stretch from its chord stays if it is farther than that, and parts the stretch in two.
     """
-    keep, todo = {0, len(points) - 1} if points else set(), [(0, len(points) - 1)]
+    if len(points) < 3:
+        return list(points)
+    keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
     while todo:
         a, b = todo.pop()
         (ax, ay), (bx, by) = points[a], points[b]

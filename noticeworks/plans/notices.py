@@ -569,7 +569,7 @@ def small_functions(spark, sf):
     )
 
 
-@query("SELECT p_partkey AS k, 'Donji Butmir' AS re_cased, 'Stan u Tuzli' AS sentence, 'abc…' AS clipped, 'stan-povrsine-62-m2' AS slug, 'a\;b\\,c' AS ics, '500,00 KM i Ročište' AS repaired, 'čevapi đorđe' AS place, '−25%' AS percent FROM part")
+@query("SELECT p_partkey AS k, 'Donji Butmir' AS re_cased, 'Stan u Tuzli' AS sentence, 'abc…' AS clipped, 'stan-povrsine-62-m2' AS slug, 'a\\;b\\,c' AS ics, '500,00 KM i Ročište' AS repaired, 'čevapi đorđe' AS place, '−25%' AS percent FROM part")
 def text_functions(spark, sf):
     return _t(spark, sf, "part").select(
         F.col("p_partkey").alias("k"), text.case_of_capitals(F.lit("DONJI BUTMIR")).alias("re_cased"), text.sentence_case(F.lit("stan u Tuzli")).alias("sentence"), text.clip(F.lit("abc defgh"), 5).alias("clipped"), text.slug_of_title(F.lit("Stan, površine 62 m²!")).alias("slug"),
