@@ -176,6 +176,19 @@ def test_compact_windows():
             assert len(mine) == 1 and h[mine[0]] == h[i:j].min()
 
 
+def test_windows_of_many_texts():
+    """The same least tokens as the Cartesian tree's nodes, with the extents as far as a passage reaches."""
+    r = np.random.default_rng(5)
+    sizes = [0, 3, 10, 200, 45, 77, 10, 0, 64]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    h = r.integers(0, 2**63, offsets[-1]).astype(np.uint64)
+    h[20:60] = h[100:140]
+    at, left, right = substring_dedup.windows_of(h, offsets, 10)
+    got = set(zip(at.tolist(), left.tolist(), right.tolist()))
+    want = {(c + a, min(c - lo, 9), min(hi - 1 - c, 9)) for a, b in zip(offsets, offsets[1:]) for lo, c, hi in substring_dedup.compact_windows(h[a:b], 10)}
+    assert {x[0] for x in got} == {x[0] for x in want} and got == want
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 5), (1000, 2000), (50_000, 2**40), (3000, 2**64 - 1)):
