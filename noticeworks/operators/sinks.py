@@ -46,8 +46,13 @@ def events(df: DataFrame) -> DataFrame:
     return df.withColumn("block", block)
 
 
+#: Events of one calendar document; a file is one row, so it can't grow without end.
+MOST_EVENTS = 10_000
+
+
 def calendar(df: DataFrame, name: str, order: str = "uid") -> DataFrame:
-    """One iCalendar document of event blocks."""
+    """One iCalendar document of the first event blocks, MOST_EVENTS at most."""
+    df = df.orderBy(order).limit(MOST_EVENTS)
     head = "\r\n".join(["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//noticeworks//EN", f"X-WR-CALNAME:{name}"])
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "block"))), lambda r: r["block"]), "\r\n")
     return df.agg(F.concat(F.lit(head + "\r\n"), body, F.lit("\r\nEND:VCALENDAR\r\n")).alias("document"))

@@ -276,7 +276,7 @@ def style_noise(spark, sf):
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\b\d{13}\b', '[uklonjeno]', 'g'), '\b[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}\b', '[uklonjeno]', 'g')) AS sha FROM documents""")
 def redact_basic(spark, sf):
-    c = F.regexp_replace(F.regexp_replace("text", r"(?<![A-Za-z0-9_])\d{13}(?![A-Za-z0-9_])", redact.MARK), r"(?<![A-Za-z0-9_])[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}(?![A-Za-z0-9_])", redact.MARK)
+    c = redact.redact_mail(redact.redact_ids(F.col("text")))
     return _t(spark, sf, "documents").select("doc_id", F.sha2(c, 256).alias("sha"))
 
 

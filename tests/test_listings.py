@@ -112,6 +112,19 @@ def test_archive_replay(spark, tmp_path):
     assert a.version() == 2 and {(r.id, r.v) for r in a.read().collect()} == {(1, "new"), (2, "b"), (3, "c")}
 
 
+def test_archive_keeps_changes_apart(spark, tmp_path):
+    """Ten merges: most write their own rows only, and each reading is that of all merges so far."""
+    a, want = Archive(spark, str(tmp_path / "t"), "id", "seq"), {}
+    for v in range(10):
+        rows = [(v % 3, f"v{v}", v), (10 + v, "new", v)]
+        a.merge(spark.createDataFrame(rows, "id long, v string, seq long"))
+        want |= {i: x for i, x, _ in rows}
+        assert a.version() == v + 1
+    assert {r.id: r.v for r in a.read().collect()} == want
+    names = {p.name for p in (tmp_path / "t").iterdir()}
+    assert {"v1", "v10"} <= names and "d2" in names and "v2" not in names
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "Stan u Tuzli", "a"), (2, "Kuća, stan", "b"), (3, "Njiva", "a")], "id int, t string, f string")
     assert {r.id for r in search.matching(df, F.col("t"), "STAN").collect()} == {1, 2} and search.matching(df, F.col("t"), "").count() == 3
