@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -164,13 +166,31 @@ class Kept(dict):
         self.held += size
 
 
+class _Libc:
+    """The C library, opened where it is first used; a worker opens its own."""
+
+    def __getattr__(self, name: str):
+        return getattr(ctypes.CDLL(None), name)
+
+
+_libc = _Libc()
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches bounded in bytes, whatever the rows' lengths."""
+    """``df.mapInArrow`` with batches bounded in bytes, whatever the rows' lengths; a worker gives its memory back when a task ends."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     bound = re.fullmatch(r"(\d+)b?", str(conf.get(name)))
     if not bound or int(bound[1]) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)
+
+    return df.mapInArrow(returned, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

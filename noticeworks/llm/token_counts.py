@@ -19,7 +19,7 @@ from . import pieces
 from .common import Kept, by_bytes, documents, in_arrow, text_or_empty
 
 #: Bytes of a worker's caches, about; beyond it they begin anew.
-WORDS_KEPT, SEGMENTS_KEPT = 128 << 20, 80 << 20
+WORDS_KEPT, SEGMENTS_KEPT = 64 << 20, 40 << 20
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -35,6 +35,7 @@ class SentencePieceCounter:
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.whole = not pieces.model(path).identity  # a normaliser may reach across any cut
         self.cut = pieces.cutter(path)
         self.words, self.segments = Kept(WORDS_KEPT), Kept(SEGMENTS_KEPT)
         # Many segments are encoded at once with a mark between them that no piece joins with anything.
@@ -65,6 +66,8 @@ class SentencePieceCounter:
         return found
 
     def counts(self, texts: list[str]) -> list[int]:
+        if self.whole:
+            return [len(x) for x in self.lib.encode(texts)]
         split = [words_with_spaces(t) for t in texts]
         words = self.words
         new = {w for ws in split for w in ws if w not in words}
@@ -76,10 +79,19 @@ class SentencePieceCounter:
 
 
 def words_with_spaces(text: str) -> list[str]:
-    """The normalised text, cut before each run of spaces; a piece never holds a space behind another character."""
-    if not text:
-        return []
-    parts = text.replace(pieces.SPACE, " ").split(" ")
+    """A text with a space in front, cut before each run of spaces; a piece never holds a space behind another character."""
+    return spaced(text.replace(pieces.SPACE, " ").split(" ")) if text else []
+
+
+def words_of_normalised(text: str) -> list[str]:
+    """A normalised text, cut before each run of its spaces."""
+    parts = text.split(pieces.SPACE)
+    first, rest = parts[0], spaced(parts[1:]) if len(parts) > 1 else []
+    return [first, *rest] if first else rest
+
+
+def spaced(parts: list[str]) -> list[str]:
+    """Words parted by single spaces, each with the spaces ahead of it."""
     if "" not in parts:
         return [pieces.SPACE + p for p in parts]
     out, run = [], ""

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The normaliser (identity, spaces to U+2581, one in front), the pieces and the byte fallback compile to
-one transducer: a trie over characters whose final states write a piece's id and return to the root. A
+The normaliser compiles to a map of character sequences, the longest first, and a rule for spaces, and is composed
+with the input first. The pieces and the byte fallback compile to one transducer: a trie over characters whose
+final states write a piece's id and return to the root. A
 unigram model weighs an arc with its piece's score. A BPE model composes with an acceptor of adjacent
 pieces: a pair is allowed if merging by rank never joins across their bound, which holds for each two
 neighbours of a segmentation exactly if it is the BPE result. An input composes with it to a lattice of
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import pieces
 from .common import Kept, by_bytes, documents, in_arrow, text_or_empty
-from .token_counts import SEGMENTS_KEPT, WORDS_KEPT, tokenizer_path, words_with_spaces
+from .token_counts import SEGMENTS_KEPT, WORDS_KEPT, tokenizer_path, words_of_normalised, words_with_spaces
 
 _END = ""
 
@@ -180,7 +181,8 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: spaces for U+2581, the first one dropped, bytes joined to characters."""
         out = b"".join(map(self.surface.__getitem__, ids))
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        n = self.model.normalise
+        return (out.lstrip(b" ") if n.one_space else out[1:] if n.front and out[:1] == b" " else out).decode("utf-8", "replace")
 
 
 class Lattices:
@@ -364,9 +366,10 @@ class Coder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        normalise = self.fst.model.normalise
         if self.cut is None:
-            return [np.array(self.fst.encode(pieces.SPACE + t.replace(" ", pieces.SPACE)) if t else [], "<i4").tobytes() for t in texts]
-        split = [words_with_spaces(t) for t in texts]
+            return [np.array(self.fst.encode(normalise(t)), "<i4").tobytes() for t in texts]
+        split = [words_with_spaces(t) if self.fst.model.identity else words_of_normalised(normalise(t)) for t in texts]
         words = self.words
         new = {w for ws in split for w in ws if w not in words}
         found = self.learn(list(new)) if new else {}

@@ -50,6 +50,30 @@ def test_long_runs_and_many_words(lib):
         assert count.words.held <= count.words.most and small.words.held <= 2000
 
 
+def test_normalisers_are_compiled(small, tmp_path):
+    """The same pieces under the library's normalisers and its rules for spaces: ids, counts and texts are the library's."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(8)
+    texts = [noise(r) + r.choice(["", "Ａｂ①", " ｶﾞ ﬁ ", "ÀÉ\u0301", "\u3000x", "Ǆ", "ﷺ"]) for _ in range(600)] + [x.text for x in small.select("text").limit(40).collect()] + ["", " ", "  "]
+    for k, (rule, one_space, front) in enumerate((("identity", True, True), ("nmt_nfkc", True, True), ("nmt_nfkc_cf", False, True), ("nfkc", True, False), ("identity", False, False))):
+        model, spec = pb.ModelProto(), pb.ModelProto()
+        with open(token_counts.tokenizer_path(), "rb") as f:
+            model.ParseFromString(f.read())
+        if rule != "identity":
+            spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        model.normalizer_spec.precompiled_charsmap = spec.normalizer_spec.precompiled_charsmap
+        model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.add_dummy_prefix = one_space, front
+        path = tmp_path / f"{k}.model"
+        path.write_bytes(model.SerializeToString())
+        lib, coder = sentencepiece.SentencePieceProcessor(model_file=str(path)), transducer.Coder(str(path))
+        want = lib.encode(texts)
+        got = [np.frombuffer(b, "<i4").tolist() for b in coder.encode(texts)]
+        assert [(t, a, b) for t, a, b in zip(texts, got, want) if a != b][:3] == [], rule
+        assert token_counts.counter(str(path)).counts(texts) == [len(x) for x in want]
+        assert [coder.decode(np.array(x)) for x in want] == lib.decode(want), rule
+
+
 def test_acceptor_is_merging():
     fst = transducer.transducer(token_counts.tokenizer_path())
     r = random.Random(2)
@@ -67,6 +91,7 @@ def test_unigram_shortest_path():
             self.scores = [0, -1.0, -2.0, -2.5, -3.0, -2.0, -4.2]
             self.normal = {p: i for i, p in enumerate(self.pieces) if i}
             self.byte, self.unknown, self.is_bpe = {}, 0, False
+            self.normalise = pieces.Normaliser(b"", False, True)
 
     fst = transducer.Transducer(Toy())
 
