@@ -182,7 +182,14 @@ class Transducer:
         """The text of ids: spaces for U+2581, the first one dropped, bytes joined to characters."""
         out = b"".join(map(self.surface.__getitem__, ids))
         n = self.model.normalise
-        return (out.lstrip(b" ") if n.one_space else out[1:] if n.front and out[:1] == b" " else out).decode("utf-8", "replace")
+        drop = 0  # of each first piece one space, as long as nothing else has come
+        for i in ids if n.front or n.one_space else ():
+            if self.surface[i][:1] != b" ":
+                break
+            drop += 1
+            if not n.one_space or self.surface[i] != b" ":
+                break
+        return out[drop:].decode("utf-8", "replace")
 
 
 class Lattices:
