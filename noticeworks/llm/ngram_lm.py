@@ -206,7 +206,7 @@ class Model:
             second[1:] &= (out["id"][1:] >= 0) & (out["id"][:-1] >= 0)
             pos = np.flatnonzero(second)
             u, v = out["id"][pos - 1], out["id"][pos]
-            order = np.argsort(u.astype(np.uint64) * np.uint64(self.words) + v.astype(np.uint64), kind="stable")
+            order = np.argsort(u.astype(np.uint64) * np.uint64(self.words) + v.astype(np.uint64))
             pos, u, v = pos[order], u[order], v[order]
             new = np.ones(len(pos), bool)
             new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
@@ -238,7 +238,7 @@ class Model:
             who = np.flatnonzero(third)
             full = np.zeros(len(p))
             go = who[r["pair"][who] >= 0]
-            go = go[np.argsort(r["pair"][go - 1], kind="stable")]
+            go = go[np.argsort(r["pair"][go - 1])]
             full[go] = self.find_triples(r["pair"][go - 1], r["place"][go])
             p = p.copy()
             p[who] = full[who] + r["pair_rest"][who - 1] * p[who]
@@ -313,7 +313,7 @@ def _counted(texts: DataFrame, keys, shards: int, build) -> list:
                     s, _, k, n = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], ["s", "k", "n"])
 
-        for b in by_bytes(batches, "t", 1 << 20):
+        for b in by_bytes(batches, "t", 2 << 20, 8192):
             held.append(keys(b.column(0)))
             if sum(len(k) for _, k in held) >= FLUSH:
                 yield from flush()
@@ -441,7 +441,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "t", 1 << 20):
+        for b in by_bytes(batches, "t", 2 << 20, 8192):
             n, known, base, own = model.scores(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known), pa.array(base), pa.array(own)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
