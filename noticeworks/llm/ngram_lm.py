@@ -4,8 +4,8 @@ Level 1 holds the hashes of all training words, level 2 word pairs and level 3 t
 ``Params.least`` times. A level is a monotone sequence: the bounds of a context's successors are monotone
 pointers, and a successor is stored relative to its context (a triple's last word by its place among the
 successors of the word before), so a lookup is a successor search. Probabilities are smoothed by absolute
-discounting and interpolation and quantised to 8 bits. Shards by the hash of the first word are built by
-separate tasks, written to the shared folder and mapped into memory by the tasks that score.
+discounting and interpolation and quantised to 8 bits. Shards by the hash of the first word are counted one
+at a time; parts of one shard or more are built by separate tasks, written to the shared folder and mapped into memory by the tasks that score.
 
     p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
     p(w|v) = (c(vw) - D)+ / c(v) + rest(v) p(w)        p(w|uv) = (c(uvw) - D)+ / c(uv) + rest(uv) p(w|v)
@@ -32,6 +32,8 @@ from .common import LOWER, NON_SPACE, by_bytes, documents, fresh_path, in_arrow,
 END = np.uint64(0xE0D0F7E8D5A1C3B7)
 #: Training words of a shard, about.
 SHARD_TOKENS = 2_000_000
+#: Parts that a model is looked up in, unless they would hold more than so many shards each.
+PARTS, MOST_SHARDS = 64, 16
 #: Bits of a shard's number, at most: a million shards, two trillion words.
 MOST_BITS = 20
 #: Words that a counting task holds before it passes counts on.
@@ -299,8 +301,11 @@ def _merged(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return key[pick], np.add.reduceat(n, pick)
 
 
-def _counted(texts: DataFrame, keys, shards: int, build) -> list:
-    """Counts ``keys(batch's texts) -> (shard, key)`` over all texts; ``build(shard, keys, counts)`` writes each shard, whose numbers come back."""
+def _counted(texts: DataFrame, keys, shards: int, each: int, least: int, build) -> list:
+    """Counts ``keys(batch's texts) -> (shard, key)`` over all texts; ``build(part, keys, counts)`` writes each part of ``each`` shards, with the keys seen ``least`` times, and its numbers come back.
+
+    A task merges one shard after the other, and holds of a part only what it writes.
+    """
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -320,28 +325,39 @@ def _counted(texts: DataFrame, keys, shards: int, build) -> list:
         yield from flush()
 
     def reduce(batches):
-        at, parts = None, []
+        at, blobs, kept = None, [], []
+
+        def merged():
+            key, n = _merged(blobs)
+            blobs.clear()
+            kept.append((key[n >= least], n[n >= least]))
+
         for b in batches:
             for s, k, n in zip(*(c.to_pylist() for c in b.columns)):
                 if s != at:
                     if at is not None:
-                        yield from done(at, parts)
-                    at, parts = s, []
+                        merged()
+                        if s // each != at // each:
+                            yield done(at // each, kept)
+                    at = s
                 if k:
-                    parts.append((k, n))
+                    blobs.append((k, n))
         if at is not None:
-            yield from done(at, parts)
+            merged()
+            yield done(at // each, kept)
 
-    def done(s, parts):
-        a, b = build(s, *_merged(parts))
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([a], pa.int64()), pa.array([b], pa.int64())], ["s", "a", "b"])
+    def done(part, kept):
+        key, n = (np.concatenate(x) for x in zip(*kept))
+        kept.clear()
+        a, b = build(part, key, n)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([a], pa.int64()), pa.array([b], pa.int64())], ["s", "a", "b"])
 
     spark = texts.sparkSession
-    each = spark.range(shards).select(F.col("id").cast("int").alias("s"), F.lit(b"").alias("k"), F.lit(b"").alias("n"))  # every shard gets a file
-    rows = texts.transform(in_arrow, count, "s int, k binary, n binary").unionByName(each)
-    width = min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # numbers of a shard, one row each
-    return rows.repartition(width, "s").sortWithinPartitions("s").transform(in_arrow, reduce, "s int, a long, b long").collect()
+    all_ = spark.range(shards).select(F.col("id").cast("int").alias("s"), F.lit(b"").alias("k"), F.lit(b"").alias("n"))  # every part gets a file
+    rows = texts.transform(in_arrow, count, "s int, k binary, n binary").unionByName(all_)
+    width = min(shards // each, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # numbers of a part, one row each
+    return rows.repartition(width, F.floor(F.col("s") / each)).sortWithinPartitions("s").transform(in_arrow, reduce, "s int, a long, b long").collect()
 
 
 def _starts(rows: list, shards: int) -> np.ndarray:
@@ -361,23 +377,30 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
     size = texts.agg(F.coalesce(F.sum(F.octet_length("t") / 6 + 1), F.lit(0.0)).alias("n")).first().n
     bits = min(MOST_BITS, max(1, math.ceil(math.log2(max(2.0, size / SHARD_TOKENS)))))
     shards = 1 << bits
-    model = Model(fresh_path(spark, "ngrams"), bits, 1, params=params)
+    each = min(MOST_SHARDS, max(1, shards // PARTS))  # a lookup takes time for each part of a model that it goes to
+    parts = shards // each
+    model = Model(fresh_path(spark, "ngrams"), parts.bit_length() - 1, 1, params=params)
     path = model.path
 
     def words(t):
         hashes, _ = tokens(t)
         return (hashes >> np.uint64(64 - bits)).astype(np.int64), hashes
 
+    def sharded(starts, ids):  # the shard of each id, its place in the part
+        part = np.searchsorted(starts, ids, "right") - 1
+        own = ids - starts[part]
+        return part * each + own * each // np.maximum(np.diff(starts)[part], 1), own.astype(np.uint64)
+
     def build_words(s, keys, counts):
         _write(f"{path}/1-{s}", ef.pack({f"w.{k}": v for k, v in ef.encode(keys).items()} | {"c": _narrow(counts)}))
         return len(keys), int(counts.sum())
 
-    rows = _counted(texts, words, shards, build_words)
-    model.starts, model.total = _starts(rows, shards), sum(r.b for r in rows)
+    rows = _counted(texts, words, shards, each, 1, build_words)
+    model.starts, model.total = _starts(rows, parts), sum(r.b for r in rows)
     if order < 2 or not model.total:
         return model
     vocabulary = np.uint64(model.words)
-    one = Model(path, bits, 1, model.total, model.starts, params=params)
+    one = Model(path, model.bits, 1, model.total, model.starts, params=params)
 
     def pairs(t):
         r = one.read(t)
@@ -386,12 +409,10 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
         second[r["at"][:-1]] = False
         pos = np.flatnonzero(second)
         u, v = ids[pos - 1], ids[pos]
-        s = np.searchsorted(one.starts, u, "right") - 1
-        return s, (u - one.starts[s]).astype(np.uint64) * vocabulary + v.astype(np.uint64)
+        s, own = sharded(one.starts, u)
+        return s, own * vocabulary + v.astype(np.uint64)
 
     def build_pairs(s, keys, counts):
-        keep = counts >= params.least
-        keys, counts = keys[keep], counts[keep]
         n = int(one.starts[s + 1] - one.starts[s])
         context = (keys // vocabulary).astype(np.int64)
         of = one.shard(s).counts[:n].astype(np.float64)
@@ -401,11 +422,11 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
         _write(f"{path}/2-{s}", ef.pack({f"k.{k}": x for k, x in ef.encode(keys).items()} | {f"p.{k}": x for k, x in ef.encode(pointers).items()} | {"q": quantised(own), "rest": quantised(rest), "c": _narrow(counts)}))
         return len(keys), 0
 
-    rows = _counted(texts, pairs, shards, build_pairs)
-    model.pair_starts, model.order = _starts(rows, shards), 2
+    rows = _counted(texts, pairs, shards, each, params.least, build_pairs)
+    model.pair_starts, model.order = _starts(rows, parts), 2
     if order < 3:
         return model
-    two = Model(path, bits, 2, model.total, model.starts, model.pair_starts, params)
+    two = Model(path, model.bits, 2, model.total, model.starts, model.pair_starts, params)
 
     def triples(t):
         r = two.read(t)
@@ -414,12 +435,10 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
         third[r["at"][:-1]] = False
         pos = np.flatnonzero(third)
         pair = r["pair"][pos - 1]
-        s = np.searchsorted(two.pair_starts, pair, "right") - 1
-        return s, (pair - two.pair_starts[s]).astype(np.uint64) * vocabulary + r["place"][pos].astype(np.uint64)
+        s, own = sharded(two.pair_starts, pair)
+        return s, own * vocabulary + r["place"][pos].astype(np.uint64)
 
     def build_triples(s, keys, counts):
-        keep = counts >= params.least
-        keys, counts = keys[keep], counts[keep]
         n = int(two.pair_starts[s + 1] - two.pair_starts[s])
         context = (keys // vocabulary).astype(np.int64)
         of = two.shard(s).pair_counts[:n].astype(np.float64)
@@ -428,7 +447,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 3, pa
         _write(f"{path}/3-{s}", ef.pack({f"k.{k}": x for k, x in ef.encode(keys).items()} | {"q": quantised(own), "rest": quantised(rest)}))
         return len(keys), 0
 
-    _counted(texts, triples, shards, build_triples)
+    _counted(texts, triples, shards, each, params.least, build_triples)
     model.order = 3
     return model
 
