@@ -15,6 +15,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .common import Kept, by_bytes, documents, in_arrow, text_or_empty
 from .token_counts import SEGMENTS_KEPT, WORDS_KEPT, tokenizer_path, words_of_normalised, words_with_spaces
 
 _END = ""
+#: Pairs of pieces whose bound a worker remembers; beyond them it begins anew.
+PAIRS_KEPT = 1 << 19
 
 
 class Transducer:
@@ -106,17 +109,21 @@ class Transducer:
         key = a << 20 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= PAIRS_KEPT // 4:  # a dictionary takes several times the bytes of the lattices' table
                 self.pairs.clear()
-            left, right, rank = self.spine(a, True), self.spine(b, False), self.rank.get
-            found = bool(left and right)
-            for u, u_made, u_end in left:
-                for v, v_made, v_end in right:
-                    if u_made < v_end and v_made < u_end:
-                        r = rank(u + v)
-                        if r is not None and r < u_end and r <= v_end:
-                            found = False
-            self.pairs[key] = found
+            found = self.pairs[key] = self.apart(a, b)
+        return found
+
+    def apart(self, a: int, b: int) -> bool:
+        """``allowed``, without remembering it."""
+        left, right, rank = self.spine(a, True), self.spine(b, False), self.rank.get
+        found = bool(left and right)
+        for u, u_made, u_end in left:
+            for v, v_made, v_end in right:
+                if u_made < v_end and v_made < u_end:
+                    r = rank(u + v)
+                    if r is not None and r < u_end and r <= v_end:
+                        found = False
         return found
 
     def encode(self, s: str) -> list[int]:
@@ -200,11 +207,13 @@ class Lattices:
     """
 
     LONGEST = 64
+    #: Strings whose paths are sought at once.
+    STRINGS = 8192
 
     def __init__(self, fst: Transducer):
         self.fst = fst
         chars = sorted({c for p in fst.model.normal for c in p})
-        self.code = np.zeros(0x110000, np.int64)
+        self.code = np.zeros(0x110000, np.int32)
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         edges: dict[tuple[int, int], int] = {}
         ends: list[int] = [-1]
@@ -220,14 +229,17 @@ class Lattices:
         self.ends = np.array(ends, np.int64)
         self.single = self.ends[[edges.get((0, c), 0) for c in range(len(chars) + 1)]] >= 0
         self.width = len(chars) + 1
-        self.edges = _Table({a * self.width + b: n for (a, b), n in edges.items()})
-        self.pairs = _Table({})
+        self.edges = _Table()
+        self.edges.put(np.array([a * self.width + b for a, b in edges], np.int64), np.array(list(edges.values()), np.int32))
+        self.pairs = _Table()
 
     def allowed(self, keys: np.ndarray) -> np.ndarray:
         found = self.pairs.get(keys)
         new = np.unique(keys[found < 0])
         if len(new):
-            self.pairs.put({int(k): int(self.fst.allowed(int(k) >> 20, int(k) & 0xFFFFF)) for k in new})
+            if self.pairs.held + len(new) > PAIRS_KEPT:  # all of this call's for the moment
+                self.pairs, new = _Table(), np.unique(keys)
+            self.pairs.put(new, np.array([self.fst.apart(k >> 20, k & 0xFFFFF) for k in new.tolist()], np.int32))
             found = self.pairs.get(keys)
         return found > 0
 
@@ -240,13 +252,13 @@ class Lattices:
         plain = np.array([bool(s) and not s.startswith(double) for s in strings]) & (lengths <= self.LONGEST)
         order = np.flatnonzero(plain)
         order = order[np.argsort(-lengths[order], kind="stable")]
-        if len(order):
-            lens = lengths[order]
-            n, width = len(order), int(lens[0])
-            codes = self.code[np.array([strings[i] for i in order], f"<U{width}").view(np.uint32).reshape(n, width)]
+        for k in range(0, len(order), self.STRINGS):
+            part = order[k : k + self.STRINGS]
+            lens = lengths[part]
+            n, width = len(part), int(lens[0])
+            codes = self.code[np.array([strings[i] for i in part], f"<U{width}").view(np.uint32).reshape(n, width)]
             good = self.single[codes].sum(1) == lens  # a character without a piece of its own falls back to bytes, one by one
-            order, lens, codes = order[good], lens[good], codes[good]
-            self._paths(order, lens, np.ascontiguousarray(codes.T), out)
+            self._paths(part[good], lens[good], np.ascontiguousarray(codes[good].T), out)
         for i, s in enumerate(strings):
             if s and not out[i]:
                 out[i] = np.array(self.fst.encode(s), "<i4").tobytes()
@@ -254,8 +266,8 @@ class Lattices:
 
     def _paths(self, order: np.ndarray, lens: np.ndarray, codes: np.ndarray, out: list[bytes]) -> None:
         n, width = len(order), int(lens[0]) if len(order) else 0
-        last = np.full((width + 1, n), -1, np.int64)
-        size = np.zeros((width + 1, n), np.int64)
+        last = np.full((width + 1, n), -1, np.int32)
+        size = np.zeros((width + 1, n), np.int8)
         active = np.searchsorted(-lens, -np.arange(width + 1), "right")  # strings of at least that length
         for j in range(1, width + 1):
             at = np.arange(active[j])
@@ -271,7 +283,7 @@ class Lattices:
                 if k < j:
                     fits &= last[j - k, at] >= 0
                     who = np.flatnonzero(fits)
-                    fits[who] = self.allowed(last[j - k, at[who]] << 20 | piece[who])
+                    fits[who] = self.allowed(last[j - k, at[who]].astype(np.int64) << 20 | piece[who])
                 else:
                     fits &= self.whole(piece)
                 last[j, at[fits]], size[j, at[fits]] = piece[fits], k
@@ -299,21 +311,21 @@ class Lattices:
 class _Table:
     """A hash table of 64-bit keys and small values, looked up by arrays; -1 for what it lacks."""
 
-    def __init__(self, items: dict[int, int]):
-        self.items: dict[int, int] = {}
-        self.bits = 0
-        self.put(items)
+    def __init__(self):
+        self.held = self.bits = 0
+        self.keys, self.values = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.put(self.keys, self.values)
 
-    def put(self, items: dict[int, int]) -> None:
-        self.items.update(items)
-        grown = max(12, (3 * len(self.items)).bit_length())
-        todo = items
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds different keys that it lacks."""
+        self.held += len(keys)
+        grown = max(12, (3 * self.held).bit_length())
         if grown > self.bits:
-            self.bits, todo = grown, self.items
+            there = self.keys != -1
+            keys, values = np.concatenate([self.keys[there], keys]), np.concatenate([self.values[there], values])
+            self.bits = grown
             self.keys = np.full(1 << grown, -1, np.int64)
             self.values = np.full(1 << grown, -1, np.int32)
-        keys = np.fromiter(todo.keys(), np.int64, len(todo))
-        values = np.fromiter(todo.values(), np.int32, len(todo))
         at = self.slot(keys)
         while len(keys):
             free = self.keys[at] == -1
@@ -357,19 +369,19 @@ class Coder:
         self.fst = transducer(path)
         self.cut = pieces.cutter(path) if self.fst.model.is_bpe else None
         self.many = lattices(path) if self.fst.model.is_bpe else None
-        self.words, self.segments = Kept(WORDS_KEPT), Kept(SEGMENTS_KEPT)
+        self.words, self.segments = Kept(WORDS_KEPT // 2), Kept(SEGMENTS_KEPT // 2)  # an entry holds ids, where op2 holds a count
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of words that aren't kept; what fits is kept."""
         kept, found = self.segments, {}
         for i in range(0, len(new), 20_000):
-            cuts = [self.cut(w) for w in new[i : i + 20_000]]
+            cuts = [c if len(c := self.cut(w)) > 1 else [w] for w in new[i : i + 20_000]]  # one string for both caches
             known = {s: kept[s] for c in cuts for s in c if s in kept}
             fresh = list({s for c in cuts for s in c if s not in known})
             made = dict(zip(fresh, self.many.encode(fresh)))
             known |= made
             found.update((w, known[c[0]] if len(c) == 1 else b"".join([known[s] for s in c])) for w, c in zip(new[i:], cuts))
-            kept.keep(made)
+            kept.keep(made, known)
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -382,7 +394,7 @@ class Coder:
         found = self.learn(list(new)) if new else {}
         words.update(found)  # all of the batch's for the moment
         out = [b"".join([words[w] for w in ws]) for ws in split]
-        words.keep(found)
+        words.keep(found, chain.from_iterable(split))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

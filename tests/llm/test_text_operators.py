@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from noticeworks.llm import media, pieces, secret_scan, token_counts, transducer, webp, webp_batch
+from noticeworks.llm.common import Kept
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
@@ -50,6 +51,27 @@ def test_long_runs_and_many_words(lib):
         assert count.words.held <= count.words.most and small.words.held <= 2000
 
 
+def test_workers_remember_few_pairs_and_what_they_just_used(lib, small, monkeypatch):
+    monkeypatch.setattr(transducer, "PAIRS_KEPT", 4000)
+    path = token_counts.tokenizer_path()
+    coder = transducer.Coder(path)
+    coder.fst = transducer.Transducer(pieces.model(path))
+    coder.many = transducer.Lattices(coder.fst)
+    r = random.Random(9)
+    texts = [x.text for x in small.select("text").collect()][:200] + [noise(r) for _ in range(500)]
+    coder.words = Kept(100_000)
+    for i in range(0, len(texts), 20):
+        part = texts[i : i + 20]
+        assert [np.frombuffer(b, "<i4").tolist() for b in coder.encode(part)] == lib.encode(part)
+        assert len(coder.fst.pairs) <= 1000 and coder.words.held <= 100_000
+    assert 0 < coder.many.pairs.held <= 4000
+    kept = Kept(1800)
+    kept.keep({"a": 1, "b": 2})
+    kept.keep({str(i): i for i in range(10)})
+    kept.keep({"c": 3, "d": 4, "e": 5, "f": 6}, ["b", "a", "b", "z"])
+    assert set(kept) == {"a", "b", "c", "d", "e", "f"}
+
+
 def test_normalisers_are_compiled(small, tmp_path):
     """The same pieces under the library's normalisers and its rules for spaces: ids, counts and texts are the library's."""
     from sentencepiece import sentencepiece_model_pb2 as pb
