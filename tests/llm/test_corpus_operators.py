@@ -500,3 +500,39 @@ def test_models_of_many_shards_have_few_parts(spark, monkeypatch):
     assert scores[0].keys() == scores[1].keys()
     for d, x in scores[0].items():
         assert x[:2] == scores[1][d][:2] and x[2:] == pytest.approx(scores[1][d][2:], rel=1e-9)
+
+
+def test_windows_that_share_one_repeated_token_are_soon_ruled_out(monkeypatch):
+    """Windows of runs of one token that others break: every passage has more of those than a pair can lack."""
+    r = np.random.default_rng(3)
+    n, width, middle = 300, 2 * substring_dedup.AROUND + 1, substring_dedup.AROUND
+    around = np.full((n, width), 7, np.uint16)
+    for k in range(n):
+        for at in (middle + r.integers(10, 13), middle - r.integers(32, 34)):
+            around[k, at : at + 5] = r.integers(100, 1 << 16, 5)
+    around[200] = around[10]
+    around[20:25, middle - 40 : middle + 41] = 7  # whole runs
+    around[20:25, :5] = r.integers(100, 1 << 16, (5, 5))
+    args = np.arange(n) + 1, np.full(n, 500), np.arange(n) > 0, np.full(n, middle), np.full(n, middle), around
+    looked, real = [], substring_dedup._strangers
+    monkeypatch.setattr(substring_dedup, "_strangers", lambda member, *rest: looked.append(len(member)) or real(member, *rest))
+    found = substring_dedup.joined(*args)
+    assert {(10, 200), (200, 10), (20, 21), (21, 20), (24, 20)} <= set(found)
+    assert sum(looked) < n * n / 10
+    for many, turn in ((3, 4), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(substring_dedup, "MANY", many)
+        monkeypatch.setattr(substring_dedup, "TURN", turn)
+        assert substring_dedup.joined(*args) == found
+
+
+def test_fewest_tokens_of_passages_by_brute_force():
+    r = np.random.default_rng(4)
+    passage, middle = substring_dedup.PASSAGE, substring_dedup.AROUND
+    around = r.integers(0, 40, (200, 2 * middle + 1)).astype(np.uint16)
+    left, right = r.integers(0, middle + 1, 200), r.integers(0, middle + 1, 200)
+    place = np.arange(-middle, middle + 1)
+    valid = (place >= -left[:, None]) & (place <= right[:, None])
+    got = substring_dedup._fewest(valid, substring_dedup._distinct(around, valid)[2])
+    for k in range(200):
+        ways = [len(set(around[k, i : i + passage].tolist())) for i in range(passage) if valid[k, i] and valid[k, i + passage - 1]]
+        assert got[k] == min(ways, default=1 << 15)
