@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeworks.functions.text import clip, slug_of_title
@@ -17,9 +18,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def quality_report(found: DataFrame, listings: int, comparable: int, worst: int = 20) -> DataFrame:
     """``(field, n, rank, id, ratio)``: how often readings disagree by field, and the worst of each; heads carry the totals."""
-    by = found.groupBy("field").agg(F.count("*").alias("n"))
-    top = top_per_group(found.withColumn("_r", F.coalesce("ratio", F.lit(0.0))), "field", [F.desc("_r"), F.col("id")], worst)
-    rows = top.join(by, "field").select("field", "n", "rank", "id", "ratio")
+    found = found.select("field", "id", "ratio", F.coalesce("ratio", F.lit(0.0)).alias("_r"), F.pmod(F.hash("id"), F.lit(256)).alias("_part"))
+    part, whole, order = W.partitionBy("field", "_part"), W.partitionBy("field"), [F.desc("_r"), F.col("id")]
+    # the first rows of a part of a field carry how many it has, so the readings are compared once
+    first = found.select("*", F.row_number().over(part.orderBy(*order)).alias("_k"), F.count("*").over(part).alias("_n")).where(F.col("_k") <= worst)
+    ranked = first.select("*", F.row_number().over(whole.orderBy(*order)).alias("rank"), F.sum(F.when(F.col("_k") == 1, F.col("_n"))).over(whole).alias("n"))
+    rows = ranked.where(F.col("rank") <= worst).select("field", "n", "rank", "id", "ratio")
     return rows.withColumns({"listings": F.lit(listings), "comparable": F.lit(comparable)})
 
 
