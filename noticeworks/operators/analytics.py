@@ -76,6 +76,14 @@ def median(df: DataFrame, value: Column) -> DataFrame:
     return df.sparkSession.createDataFrame([(n, (a + b) / 2)], "n long, median double")
 
 
+def median_days(df: DataFrame, days: Column) -> DataFrame:
+    """``(n, median)`` of whole days that aren't null; one row. Days are few different values, so they are counted in one pass over the rows."""
+    counts = df.select(days.cast("long").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    upto = counts.select("v", "c", F.sum("c").over(W.orderBy("v")).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))  # a row for each day
+    at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v")))
+    return upto.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+
+
 def by_year(df: DataFrame, date: str, starting: Column, appraised: Column, least: int = 5) -> DataFrame:
     """Medians by the hearing's year; the count holds unpriced rows too."""
     return (

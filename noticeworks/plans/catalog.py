@@ -128,9 +128,9 @@ def weekly_strip(spark, sf):
 
 @query("SELECT round(median(d), 4) AS days, count(*)::BIGINT AS n FROM (SELECT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE d >= 0")
 def lead_days_median(spark, sf):
-    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    rows = _t(spark, sf, "lineitem").select("l_orderkey", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    m = A.median(rows, A.lead_days(F.to_date("o_orderdate"), F.to_date("l_shipdate")))
+    o = _t(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"))
+    rows = _t(spark, sf, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("l_shipdate")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    m = A.median_days(rows, A.lead_days(F.col("o_orderdate"), F.col("l_shipdate")))
     return m.select(_n(F.col("median")).alias("days"), "n")
 
 
