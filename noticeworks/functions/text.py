@@ -185,14 +185,14 @@ def ics_escape(c: Column) -> Column:
 
 def fold_octets(c: Column, most: int = 75) -> Column:
     """Calendar lines broken so that none has more than ``most`` octets; a continuation begins with a space."""
-    step = F.aggregate(
-        F.split(c, ""),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
-        lambda a, ch: F.when(a["n"] + F.octet_length(ch) > most, F.struct(F.concat(a["out"], F.lit("\r\n "), ch).alias("out"), (F.octet_length(ch) + 1).alias("n"))).otherwise(
-            F.struct(F.concat(a["out"], ch).alias("out"), (a["n"] + F.octet_length(ch)).alias("n"))
-        ),
-    )
-    return step["out"]
+
+    def broken(line: Column) -> Column:
+        octets = F.decode(line.cast("binary"), "ISO-8859-1")  # a character for each octet; those from 80 to BF go on with one
+        first = lambda o: F.regexp_extract(o, rf"(?s)^.{{0,{most}}}(?![\x80-\xBF])", 0)
+        whole = once(octets, lambda o: once(first(o), lambda a: F.concat(a, F.regexp_replace(o.substr(F.length(a) + 1, F.length(o)), rf"(?s).{{1,{most - 1}}}(?![\x80-\xBF])", "\r\n $0"))))
+        return F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8")
+
+    return once(c, lambda line: F.when(F.octet_length(line) > most, broken(line)).otherwise(line))
 
 
 def repair_ocr(c: Column) -> Column:
