@@ -22,10 +22,10 @@ def build(candidates: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
 
     A row without any plausible date, court or title is rejected, not lost.
     """
-    c = candidates.withColumn("rules", extract.reading(F.col("text"), F.col("title")))
+    c, rules = extract.with_reading(candidates, F.col("text"), F.col("title"))
     c = c.withColumn("described", item_description(F.col("text"), F.col("title")))
     c = c.withColumn("tags", extract.item_tags(F.col("title"), F.col("described"), F.substring("text", 1, 8000)))
-    c = c.withColumn("m", merge.merged(F.col("llm"), F.col("rules"), F.col("described"), F.col("tags"), F.col("title"), F.col("text")))
+    c = c.withColumn("m", merge.merged(F.col("llm"), rules, F.col("described"), F.col("tags"), F.col("title"), F.col("text")))
     in_text = dates.plausible(dates.sale_date_in(F.col("text"), as_of), F.col("published_date"))
     sale = F.coalesce(dates.plausible(F.col("sale_date"), F.col("published_date")), in_text, F.col("published_date"))
     kind = F.when(F.col("type_code").isNotNull() | F.col("type_label").isNotNull(), extract.sale_type(F.col("type_code"), F.col("type_label"))).otherwise(
@@ -40,7 +40,7 @@ def build(candidates: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
         redact.redact_title(F.col("title")).alias("title"), redact.redact_text(F.col("m.headline")).alias("headline"), redact.redact_text(F.col("m.item_description")).alias("item_description"), F.col("m.item_tags").alias("item_tags"),
         F.col("m.cadastral").alias("cadastral"), F.struct(F.col("m.municipality").alias("municipality"), extract.settlement(F.coalesce(F.col("m.cadastral.ko"), F.array().cast("array<string>"))).alias("settlement")).alias("location"),
         _money(F.col("m.money.appraised")).alias("appraised_value"), _money(F.col("m.money.starting")).alias("starting_price"), _money(F.col("m.money.deposit")).alias("deposit"), F.col("m.auction_round").alias("auction_round"),
-        F.col("m.sale_method").alias("sale_method"), sale.alias("sale_date"), F.col("m.sale_time").alias("sale_time"), redact.redact_venue(F.col("m.auction_location")).alias("auction_location"), redact.redact_text(F.col("rules.viewing_info")).alias("viewing_info"),
+        F.col("m.sale_method").alias("sale_method"), sale.alias("sale_date"), F.col("m.sale_time").alias("sale_time"), redact.redact_venue(F.col("m.auction_location")).alias("auction_location"), redact.redact_text(rules["viewing_info"]).alias("viewing_info"),
         "published_date", F.struct(F.lit(VERSION).alias("pipeline_version"), F.col("source"), score.alias("confidence"), F.col("llm").isNotNull().alias("llm")).alias("extraction"),
     )
     sound = F.coalesce(F.col("sale_date").isNotNull() & F.col("court_id").isNotNull() & (F.col("title") != ""), F.lit(False))
